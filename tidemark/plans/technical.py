@@ -56,10 +56,14 @@ FEATURE = {
 }
 
 
+# One product of the same two doubles in both engines; rounding it would only add ties.
+EXACT = ("dailyValueProxyIdr",)
+
+
 def state_sql(name: str) -> str:
     _, value, minimum, reason = FEATURE[name]
     return f"""CASE WHEN pos < {minimum} THEN 'WARMUP' WHEN {reason} IS NOT NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS {name}_state,
- CASE WHEN pos >= {minimum} AND {reason} IS NULL THEN round({value}, 6) END AS {name}, CASE WHEN pos < {minimum} THEN 'INSUFFICIENT_SESSIONS' ELSE {reason} END AS {name}_reason"""
+ CASE WHEN pos >= {minimum} AND {reason} IS NULL THEN {value if name in EXACT else f'round({value}, 6)'} END AS {name}, CASE WHEN pos < {minimum} THEN 'INSUFFICIENT_SESSIONS' ELSE {reason} END AS {name}_reason"""
 
 
 def aligned(spark, sf):
@@ -70,7 +74,7 @@ def aligned(spark, sf):
 
 def flat(panel, names):
     return panel.select("instrument_id", "session_date", "sessions", *[
-        c for n in names for c in (F.col(f"{n}.availability").alias(f"{n}_state"), F.round(f"{n}.value", 6).alias(n), F.col(f"{n}.reason").alias(f"{n}_reason"))])
+        c for n in names for c in (F.col(f"{n}.availability").alias(f"{n}_state"), (F.col(f"{n}.value") if n in EXACT else F.round(f"{n}.value", 6)).alias(n), F.col(f"{n}.reason").alias(f"{n}_reason"))])
 
 
 def _register(group: str, names: list[str]) -> None:
