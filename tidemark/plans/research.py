@@ -147,14 +147,14 @@ HORIZONS = """
  h AS (SELECT n FROM (VALUES (1), (5), (10), (20)) v(n)),
  walk AS (SELECT u.run_id, h.n, d.session_date, d.good, d.closed, d.reason, d.completed_at, u.target_session, u.through, u.captured_at, CAST(u.captured_at + INTERVAL '7' HOUR AS DATE) AS cap,
    sum(CASE WHEN d.good THEN 1 ELSE 0 END) OVER (PARTITION BY u.run_id, h.n ORDER BY d.session_date) AS k
-  FROM {{decision_runs}} u CROSS JOIN h JOIN d ON d.session_date > u.target_session AND d.session_date <= u.target_session + 70),
- ev AS (SELECT *, CASE WHEN NOT closed AND NOT good THEN 'BAD' WHEN good AND session_date <= through AND NOT (session_date < cap OR coalesce(completed_at <= captured_at, false)) AND completed_at IS NULL THEN 'UNPROVED' WHEN good AND k = n THEN 'HIT' END AS e,
+  FROM {{decision_runs}} u CROSS JOIN h CROSS JOIN (SELECT CAST(unnest(range(1, 71)) AS INTEGER) AS i) step JOIN d ON d.session_date = u.target_session + step.i),
+ ev AS MATERIALIZED (SELECT *, CASE WHEN NOT closed AND NOT good THEN 'BAD' WHEN good AND session_date <= through AND NOT (session_date < cap OR coalesce(completed_at <= captured_at, false)) AND completed_at IS NULL THEN 'UNPROVED' WHEN good AND k = n THEN 'HIT' END AS e,
    good AND session_date <= through AND (session_date < cap OR coalesce(completed_at <= captured_at, false)) AS np FROM walk),
- first AS (SELECT run_id, n, min(session_date) AS day FROM ev WHERE e IS NOT NULL GROUP BY 1, 2),
- hz AS (SELECT u.run_id, h.n AS horizon_sessions, CASE WHEN e.e = 'HIT' THEN f.day END AS horizon_date,
+ first AS (SELECT run_id, n, min(session_date) FILTER (WHERE e IS NOT NULL) AS day, min(session_date) FILTER (WHERE np) AS np_day FROM ev GROUP BY 1, 2),
+ hz AS MATERIALIZED (SELECT u.run_id, h.n AS horizon_sessions, CASE WHEN e.e = 'HIT' THEN f.day END AS horizon_date,
    CASE WHEN u.target_session IS NULL THEN 'SESSION_UNAVAILABLE' WHEN e.e = 'HIT' THEN 'RESOLVED' WHEN e.e = 'BAD' THEN CASE WHEN f.day = DATE '2001-06-29' AND e.reason <> 'SESSION_CONFLICT' THEN 'PENDING' ELSE 'SESSION_UNAVAILABLE' END WHEN e.e = 'UNPROVED' THEN 'SESSION_UNAVAILABLE' ELSE 'PENDING' END AS horizon_state,
    CASE WHEN u.target_session IS NULL THEN 'CAPTURE_TARGET_UNKNOWN' WHEN e.e = 'HIT' THEN NULL WHEN e.e = 'BAD' THEN coalesce(e.reason, 'SESSION_UNCONFIRMED') WHEN e.e = 'UNPROVED' THEN 'HORIZON_CHRONOLOGY_UNPROVED' ELSE 'HORIZON_NOT_REACHED' END AS horizon_reason,
-   e.e = 'HIT' AND coalesce((SELECT bool_or(w.np) FROM ev w WHERE w.run_id = u.run_id AND w.n = h.n AND w.session_date <= f.day), false) AS non_prospective
+   e.e = 'HIT' AND coalesce(f.np_day <= f.day, false) AS non_prospective
   FROM {{decision_runs}} u CROSS JOIN h LEFT JOIN first f ON f.run_id = u.run_id AND f.n = h.n LEFT JOIN ev e ON e.run_id = f.run_id AND e.n = f.n AND e.session_date = f.day)"""
 NOW = "2001-06-29 12:00:00"
 
