@@ -46,7 +46,12 @@ def resolve_horizons(runs: DataFrame, calendar: DataFrame, at, horizons: Sequenc
     own = days.where("good").select(F.col("session_date").alias("__capture_day"), F.col("completed_at").alias("__completed"), F.lit(True).alias("__traded"))
     before = days.select(F.date_add("session_date", 1).alias("__capture_day"), F.col("ordinal").alias("__earlier"))
     x = runs.withColumn("horizon_sessions", F.explode(F.array(*[F.lit(n) for n in horizons]))).withColumn("__capture_day", local_date("captured_at"))
-    x = x.join(start, "target_session", "left").withColumn("__want", F.col("__from") + F.col("horizon_sessions"))
+    # A target before the first calendar day starts from zero sessions.
+    edge = F.broadcast(days.agg(F.min("session_date").alias("__begin"), F.min(F.when(F.col("bad"), F.col("session_date"))).alias("__first_bad")))  # one row
+    x = x.join(start, "target_session", "left").crossJoin(edge)
+    early = F.col("target_session") < F.col("__begin")
+    x = x.withColumn("__from", F.when(early, F.lit(0)).otherwise(F.col("__from"))).withColumn(
+        "next_bad", F.when(early, F.col("__first_bad")).otherwise(F.col("next_bad"))).withColumn("__want", F.col("__from") + F.col("horizon_sessions"))
     x = x.join(nth, "__want", "left").join(stop, "next_bad", "left").join(own, "__capture_day", "left").join(before, "__capture_day", "left")
     blocked = F.col("next_bad").isNotNull() & (F.col("__date").isNull() | (F.col("next_bad") < F.col("__date")))
     # Sessions between target and capture were already complete or of unproven order at the capture.
