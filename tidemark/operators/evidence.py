@@ -20,6 +20,8 @@ HIGHEST_TIER = {
 SECONDARY_TIER = 5
 # Feature -> cleared observations it needs.
 REQUIRED_OBSERVATIONS = {"Ema20": 20, "Ema50": 50, "Atr14": 15, "PriorHigh20": 21, "PriorLow20": 21, "DistanceToHighPercent": 21, "Rs20": 21, "Rs60": 61}
+#: Layers of a dependency graph taken away per written round.
+STRIPS = 6
 OPTIONAL_FEATURES = ("RelativeVolume", "MonetaryLiquidityProxy", "ActualTradedValue", "Rs20", "Rs60", "MarketContext")
 
 
@@ -74,7 +76,7 @@ def resolve_evidence(candidates: DataFrame, keys: Sequence[str], day, cutoff) ->
     named = group.where("series is not null and supersedes_revision is not null").select(*keys, "series", F.col("supersedes_revision").alias("revision"), F.lit(True).alias("__replaced")).distinct()
     marked = group.join(top, [*keys, "series"], "left").join(named, [*keys, "series", "revision"], "left")
     alive = (F.col("series").isNull() | (F.col("revision") == F.col("__top"))) & F.col("__replaced").isNull()
-    order = F.struct((-F.unix_micros("known_at")).alias("k"), (-F.col("revision")).alias("r"), "series", "evidence_id")
+    order = F.struct((-F.unix_micros(F.col("known_at").cast("timestamp"))).alias("k"), (-F.col("revision")).alias("r"), "series", "evidence_id")
     out = marked.groupBy(*keys).agg(
         F.max("candidates").alias("candidates"), F.count_if(alive).alias("__left"),
         F.min(F.when(alive, F.col("value"))).alias("__low"), F.max(F.when(alive, F.col("value"))).alias("__high"),
@@ -313,12 +315,16 @@ def audit_premises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = found(twice, "DUPLICATE_ID").unionByName(found(roles, "DUPLICATE_ROLE")).unionByName(found(unknown, "UNKNOWN_DEPENDENCY")).unionByName(found(own, "SELF_DEPENDENCY"))
     inside = edges.join(ids.withColumnRenamed("evidence_id", "premise_id"), ["graph_id", "premise_id"], "left_semi").where("evidence_id <> premise_id").select(*key, "premise_id").distinct()
     left = cut_lineage(inside)
-    while True:
-        blocked = left.select(*key).distinct()
-        nxt = cut_lineage(left.join(blocked.withColumnRenamed("evidence_id", "premise_id"), ["graph_id", "premise_id"], "left_semi"))
-        if nxt.count() == left.count():
+    size = left.count()
+    while size:
+        nxt = left
+        for _ in range(STRIPS):  # several layers per written round
+            blocked = nxt.select("graph_id", F.col("evidence_id").alias("premise_id")).distinct()
+            nxt = nxt.join(blocked, ["graph_id", "premise_id"], "left_semi")
+        left = cut_lineage(nxt)
+        size, before = left.count(), size
+        if size == before:
             break
-        left = nxt
     return out.unionByName(found(left, "CYCLE"))
 
 

@@ -65,7 +65,7 @@ def bars_as_of_many(revisions: DataFrame, cutoffs: DataFrame, cutoff: str = "cut
     )
     instants = revisions.select(known.alias("__known")).distinct()
     first = asof_lookup(
-        instants.select(F.lit(1).alias("__one"), (-F.unix_micros("__known")).alias("__neg"), F.timestamp_micros(-F.unix_micros("__known")).alias("__probe_at"), "__known"),
+        instants.select(F.lit(1).alias("__one"), (-F.unix_micros(F.col("__known").cast("timestamp"))).alias("__neg"), F.timestamp_micros(-F.unix_micros(F.col("__known").cast("timestamp"))).alias("__probe_at"), "__known"),
         ordered.select(F.lit(1).alias("__one"), F.timestamp_micros(-F.unix_micros("__cut")).alias("__fact_at"), "__n"),
         ["__one"], "__probe_at", "__fact_at", ["__n"], block="year",
     ).select("__known", "__n")
@@ -90,7 +90,7 @@ def bars_as_of_many(revisions: DataFrame, cutoffs: DataFrame, cutoff: str = "cut
 def knowledge_intervals(revisions: DataFrame) -> DataFrame:
     """Validity of each revision in knowledge time: [known_at, next_known_at)."""
     ahead = prefix_scan(
-        revisions.withColumn("__back", -F.unix_micros("known_at")).withColumn("__rback", -F.col("revision_number")),
+        revisions.withColumn("__back", -F.unix_micros(F.col("known_at").cast("timestamp"))).withColumn("__rback", -F.col("revision_number")),
         BAR_KEYS, ("__back", "__rback"), -F.unix_date(F.trunc(F.to_date("known_at"), "month")),
         {"next_known_at": ("last", F.col("known_at"))},
     )

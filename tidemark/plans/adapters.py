@@ -162,7 +162,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = TEXT[name]
     inputs = {n: table(spark, sf_dir, n) for n in sorted(set(TABLE_PATTERN.findall(text)))}
-    return spark.sql(spell(TABLE_PATTERN.sub(r"{\1}", text), "spark"), **inputs)
+    # Braces that are not table names are literal text to the formatter.
+    marked = TABLE_PATTERN.sub("\x00\\1\x01", spell(text, "spark")).replace("{", "{{").replace("}", "}}")
+    return spark.sql(marked.replace("\x00", "{").replace("\x01", "}"), **inputs)
 
 
 def _needed(text: str, found: dict[str, str]) -> None:

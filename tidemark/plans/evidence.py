@@ -183,11 +183,11 @@ def _sm16(spark, sf):
 
 
 @query("prj10_usage_decisions", """
-WITH s AS (SELECT request_id, concat('P', CAST(k AS VARCHAR)) AS source_id, NOT (k = 0 AND qty = 5) AS enabled, qty = 6 AS restricted, DATE '1994-01-01' AS vf, CASE WHEN qty = 7 THEN NULL WHEN qty = 8 THEN DATE '1995-01-01' ELSE DATE '2030-01-01' END AS vu, CAST(known_at AS DATE) AS at, qty <> 9 AS cap FROM {{conditions}} CROSS JOIN (SELECT n_regionkey AS k FROM {{nation}} GROUP BY 1 HAVING n_regionkey < 2) n),
+WITH s AS (SELECT request_id, concat('P', CAST(k AS VARCHAR)) AS source_id, NOT (k = 0 AND qty = 5) AS enabled, qty = 6 AS restricted, DATE '1994-01-01' AS vf, CASE WHEN qty = 7 THEN NULL WHEN qty = 8 THEN DATE '1995-01-01' ELSE DATE '2030-01-01' END AS vu, CAST(known_at AS DATE) AS used_at, qty <> 9 AS cap FROM {{conditions}} CROSS JOIN (SELECT n_regionkey AS k FROM {{nation}} GROUP BY 1 HAVING n_regionkey < 2) n),
  o AS (SELECT request_id, op FROM {{conditions}} CROSS JOIN (VALUES ('Display'), ('RetainOriginal')) v(op) UNION ALL SELECT request_id, 'Export' FROM {{conditions}} WHERE disc = 9 UNION ALL SELECT request_id, 'SaasConsumption' FROM {{conditions}} WHERE tax = 8),
  p AS (SELECT * FROM (VALUES ('P0', 'Display', 'ExplicitPermission'), ('P1', 'Display', 'ExplicitPermission'), ('P0', 'RetainOriginal', 'ExplicitPermission'), ('P1', 'RetainOriginal', 'ExplicitPermission'), ('P0', 'Export', 'ExplicitPermission'), ('P1', 'Export', 'ExplicitProhibition'), ('P0', 'SaasConsumption', 'ExplicitPermission'), ('P1', 'SaasConsumption', 'ExplicitPermission')) v(source_id, op, perm)),
  h AS (SELECT s.request_id, bool_or(coalesce(perm = 'ExplicitProhibition', false)) AS pro, bool_and(coalesce(perm = 'ExplicitPermission', false)) AS per FROM s JOIN o USING (request_id) LEFT JOIN p ON p.source_id = s.source_id AND p.op = o.op GROUP BY 1),
- g AS (SELECT request_id, bool_and(enabled) AS en, bool_or(coalesce(at >= vu, false)) AS ex, bool_or(restricted OR vu IS NULL) AS un, bool_and(cap) AS cap FROM s GROUP BY 1),
+ g AS (SELECT request_id, bool_and(enabled) AS en, bool_or(coalesce(used_at >= vu, false)) AS ex, bool_or(restricted OR vu IS NULL) AS un, bool_and(cap) AS cap FROM s GROUP BY 1),
  r AS (SELECT c.request_id, CASE WHEN qty = 1 THEN 'FEATURE_DISABLED' WHEN qty = 2 THEN 'MODE_UNSUPPORTED' WHEN qty = 3 THEN 'CAPABILITY_MISSING' WHEN qty = 4 THEN 'SOURCE_SELECTION_MISMATCH' WHEN NOT en THEN 'SOURCE_DISABLED' WHEN pro OR ex OR NOT per OR un THEN CASE WHEN disc = 9 THEN 'EXPORT_NOT_PERMITTED' WHEN pro THEN 'PERMISSION_PROHIBITED' WHEN ex THEN 'PERMISSION_EXPIRED' ELSE 'PERMISSION_UNKNOWN' END
    WHEN tax = 8 THEN 'UNSUPPORTED_PROFILE' WHEN NOT g.cap THEN 'CAPABILITY_UNSUPPORTED' WHEN disc = 3 AND tax < 4 THEN 'EVIDENCE_NOT_ADMITTED' ELSE 'USAGE_PERMITTED' END AS reason FROM {{conditions}} c JOIN h USING (request_id) JOIN g USING (request_id))
 SELECT request_id, reason = 'USAGE_PERMITTED' AS permitted, reason FROM r""")
@@ -263,7 +263,7 @@ def _st7(spark, sf):
 
 @query("src17_admit_evidence_batch", """
 WITH m AS (SELECT DISTINCT source_id, claim, tier FROM {{evidence}} WHERE k < 80)
-SELECT e.evidence_id, CASE WHEN retrieved_at > known_at OR published_at > known_at THEN 'INGESTION_CHRONOLOGY_INVALID' WHEN CAST(substr(subject_id, 2) AS BIGINT) >= 140 THEN 'INGESTION_OUTSIDE_UNIVERSE' WHEN m.tier IS NULL OR NOT (e.tier <= CASE e.claim WHEN 'Suspension' THEN 0 ELSE 1 END) THEN 'INGESTION_SOURCE_INADMISSIBLE'
+SELECT e.evidence_id, CASE WHEN retrieved_at IS NULL OR retrieved_at > known_at OR published_at > known_at THEN 'INGESTION_CHRONOLOGY_INVALID' WHEN CAST(substr(subject_id, 2) AS BIGINT) >= 140 THEN 'INGESTION_OUTSIDE_UNIVERSE' WHEN m.tier IS NULL OR NOT (e.tier <= CASE e.claim WHEN 'Suspension' THEN 0 ELSE 1 END) THEN 'INGESTION_SOURCE_INADMISSIBLE'
  WHEN series IS NULL OR revision <= 0 OR (revision = 1 AND supersedes_revision IS NOT NULL) OR (revision <> 1 AND (supersedes_revision IS NULL OR supersedes_revision >= revision)) THEN 'INGESTION_LINEAGE_INVALID' END AS reason
 FROM {{evidence}} e LEFT JOIN m ON m.source_id = e.source_id AND m.claim = e.claim AND m.tier = e.tier""")
 def _src17(spark, sf):
