@@ -108,8 +108,8 @@ def governing_revision(entries: DataFrame, cutoff) -> DataFrame:
     head = seen.groupBy("series").agg(
         F.max_by(F.struct("revision_number", "operation", "authority_tier", "known_at"), "revision_number").alias("h"),
         F.max(F.when(F.col("operation") == "ASSERT", F.col("revision_number"))).alias("reinstated_revision"))
-    same = seen.where("operation = 'ASSERT'").groupBy("series", F.col("authority_tier").alias("__t"), F.col("known_at").alias("__k")).agg(F.count("*").alias("__n"))
-    x = head.join(same, (head["series"] == same["series"]) & (F.col("h.authority_tier") == F.col("__t")) & (F.col("h.known_at") == F.col("__k")), "left").drop(same["series"])
+    same = seen.where("operation = 'ASSERT'").groupBy(F.col("series").alias("__s"), F.col("authority_tier").alias("__t"), F.col("known_at").alias("__k")).agg(F.count("*").alias("__n"))
+    x = head.join(same, (F.col("series") == F.col("__s")) & (F.col("h.authority_tier") == F.col("__t")) & (F.col("h.known_at") == F.col("__k")), "left")
     cancelled, conflict = F.col("h.operation") == "CANCEL", F.col("__n") > 1
     return x.select("series", F.when(~cancelled & ~F.coalesce(conflict, F.lit(False)), F.col("h.revision_number")).alias("governing_revision"),
                     F.when(~cancelled & conflict, F.lit("FUNDAMENTAL_CONFLICT")).alias("diagnostic"), "reinstated_revision")
@@ -154,7 +154,7 @@ def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fu
     scope = F.when(e["claim"] == "FundamentalConvention", F.lit("SOURCE")).otherwise(F.lit("REPORTING_ENTITY"))
     series = series_id(e["sourceId"], F.concat_ws("/", F.lit(policy), e["claim"], e["assertionKey"]))
     checks = [
-        *[code(F.size(F.filter(names, lambda n, f=f: n == f)) == 0, MALFORMED, f"/{f}") for f in ENVELOPE],
+        *[code(~F.array_contains(names, f), MALFORMED, f"/{f}") for f in ENVELOPE],
         code(F.size(F.array_except(names, F.array(*[F.lit(f) for f in ENVELOPE]))) > 0, MALFORMED, "/"),
         code(~e["claim"].isin(*CLAIMS), MALFORMED, "/claim"), code(e["policyId"] != policy, UNSUPPORTED, "/policyId"), code(number("schemaVersion") != 1, UNSUPPORTED, "/schemaVersion"),
         code(~e["authorityTier"].isin("T1", "T2", "T3", "T4"), MALFORMED, "/authorityTier"), code(e["scopeKind"] != scope, MALFORMED, "/scopeKind"),

@@ -229,10 +229,10 @@ def _jn7(spark, sf):
 
 
 TEXT["graph_nodes"] = """
-SELECT concat('G', CAST(user_id AS VARCHAR(12))) AS graph_id, concat('V', CAST(event_id AS VARCHAR(12))) AS evidence_id, CASE WHEN value > 200 THEN 'ROLE' ELSE concat('R', CAST(event_id AS VARCHAR(12))) END AS role FROM {{events}}"""
+SELECT concat('G', CAST(user_id AS VARCHAR(12)), '-', CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR(12))) AS graph_id, concat('V', CAST(event_id AS VARCHAR(12))) AS evidence_id, CASE WHEN value > 200 THEN 'ROLE' ELSE concat('R', CAST(event_id AS VARCHAR(12))) END AS role FROM {{events}}"""
 TEXT["graph_edges"] = """
-SELECT concat('G', CAST(user_id AS VARCHAR(12))) AS graph_id, concat('V', CAST(event_id AS VARCHAR(12))) AS evidence_id, concat('V', CAST(CASE WHEN value > 180 AND event_type = 'view' THEN event_id WHEN value > 180 AND event_type = 'click' THEN 99999999 ELSE nxt END AS VARCHAR(12))) AS premise_id
-FROM (SELECT *, CASE WHEN value > 150 AND event_type = 'error' THEN first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS nxt FROM {{events}}) x WHERE nxt IS NOT NULL"""
+SELECT concat('G', CAST(user_id AS VARCHAR(12)), '-', CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR(12))) AS graph_id, concat('V', CAST(event_id AS VARCHAR(12))) AS evidence_id, concat('V', CAST(CASE WHEN value > 180 AND event_type = 'view' THEN event_id WHEN value > 180 AND event_type = 'click' THEN 99999999 ELSE nxt END AS VARCHAR(12))) AS premise_id
+FROM (SELECT *, CASE WHEN value > 150 AND event_type = 'error' THEN first_value(event_id) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lead(event_id) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY event_id) END AS nxt FROM {{events}}) x WHERE nxt IS NOT NULL"""
 
 
 @query("jn8_audit_premises", """

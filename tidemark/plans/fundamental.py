@@ -11,8 +11,8 @@ TEXT["amounts"] = "SELECT seq AS row_id, CAST(px AS VARCHAR(40)) AS amount, CASE
 
 @query("prj22_normalize_amount", """
 WITH v AS (SELECT *, CAST(amount AS DECIMAL(20,8)) * CASE scale_power WHEN 5 THEN 100000 WHEN 4 THEN 10000 WHEN 3 THEN 1000 WHEN 2 THEN 100 WHEN 1 THEN 10 ELSE 1 END AS up, CASE WHEN scale_power < 0 THEN -scale_power ELSE 0 END AS down FROM {{amounts}}),
- t AS (SELECT *, CAST(CAST(up AS DECIMAL(38,8)) AS VARCHAR) AS s FROM v), d AS (SELECT *, replace(s, '.', '') AS digits, 8 + down AS places FROM t), p AS (SELECT *, lpad(digits, greatest(length(digits), places + 1), '0') AS padded FROM d),
- r AS (SELECT row_id, scale_power, sign, amount, rtrim(rtrim(substr(padded, 1, length(padded) - places) || '.' || right(padded, places), '0'), '.') AS raw FROM p), z AS (SELECT *, CASE WHEN ltrim(split_part(raw, '.', 1), '0') = '' THEN '0' ELSE ltrim(split_part(raw, '.', 1), '0') END || CASE WHEN contains(raw, '.') THEN '.' || split_part(raw, '.', 2) ELSE '' END AS lit FROM r)
+ t AS (SELECT *, CAST(CAST(up AS DECIMAL(38,8)) AS VARCHAR) AS s FROM v), d AS (SELECT *, replace(s, '.', '') AS digits, 8 + down AS places FROM t), p AS (SELECT *, lpad(digits, CAST(greatest(length(digits), places + 1) AS INTEGER), '0') AS padded FROM d),
+ r AS (SELECT row_id, scale_power, sign, amount, rtrim(rtrim(substr(padded, 1, CAST(length(padded) - places AS INTEGER)) || '.' || right(padded, CAST(places AS INTEGER)), '0'), '.') AS raw FROM p), z AS (SELECT *, CASE WHEN ltrim(split_part(raw, '.', 1), '0') = '' THEN '0' ELSE ltrim(split_part(raw, '.', 1), '0') END || CASE WHEN contains(raw, '.') THEN '.' || split_part(raw, '.', 2) ELSE '' END AS lit FROM r)
 SELECT row_id, CASE WHEN scale_power = 29 THEN 'FUNDAMENTAL_MALFORMED' WHEN scale_power = -25 AND length(rtrim(split_part(amount, '.', 2), '0')) > 3 THEN 'FUNDAMENTAL_NUMERIC_UNREPRESENTABLE' END AS diagnostic,
  CASE WHEN scale_power = 29 OR (scale_power = -25 AND length(rtrim(split_part(amount, '.', 2), '0')) > 3) THEN NULL WHEN sign = 'NEGATE' AND lit <> '0' THEN '-' || lit ELSE lit END AS normalized FROM z""")
 def _prj22(spark, sf):
