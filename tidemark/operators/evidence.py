@@ -21,7 +21,7 @@ SECONDARY_TIER = 5
 # Feature -> cleared observations it needs.
 REQUIRED_OBSERVATIONS = {"Ema20": 20, "Ema50": 50, "Atr14": 15, "PriorHigh20": 21, "PriorLow20": 21, "DistanceToHighPercent": 21, "Rs20": 21, "Rs60": 61}
 #: Layers of a dependency graph taken away per written round.
-STRIPS = 6
+STRIPS = 2
 OPTIONAL_FEATURES = ("RelativeVolume", "MonetaryLiquidityProxy", "ActualTradedValue", "Rs20", "Rs60", "MarketContext")
 
 

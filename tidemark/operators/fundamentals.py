@@ -34,19 +34,23 @@ def normalize_amount(df: DataFrame, amount: str = "amount", power: str = "scale_
     whole = F.regexp_extract(body, r"^([0-9]*)", 1)
     fraction = F.regexp_extract(body, r"\.([0-9]*)$", 1)
     shift = F.col(power).cast("int")
-    digits = F.concat(F.repeat(F.lit("0"), 60), whole, fraction, F.repeat(F.lit("0"), 60))
+    x = df.withColumns({"__whole": whole, "__fraction": fraction})
+    padding = F.repeat(F.lit("0"), 60)
     # The point sits after 60 padding zeros and the whole part; shifting moves it inside the padding.
-    point = F.lit(60) + F.length(whole) + shift
-    left = F.ltrim(digits.substr(F.lit(1), point), F.lit("0"))
-    right = F.rtrim(digits.substr(point + 1, F.lit(400)), F.lit("0"))
-    coefficient = F.ltrim(F.concat(left, right), F.lit("0"))
+    x = x.withColumns({
+        "__digits": F.concat(padding, F.col("__whole"), F.col("__fraction"), padding), "__point": F.lit(60) + F.length("__whole") + shift})
+    digits, point = F.col("__digits"), F.col("__point")
+    x = x.withColumns({"__left": F.ltrim(digits.substr(F.lit(1), point), F.lit("0")), "__right": F.rtrim(digits.substr(point + 1, F.lit(400)), F.lit("0"))})
+    left, right = F.col("__left"), F.col("__right")
+    x = x.withColumn("__coefficient", F.ltrim(F.concat(left, right), F.lit("0")))
+    coefficient = F.col("__coefficient")
     bad_shift = (shift < -28) | (shift > 28)
     fits = (F.length(right) <= 28) & ((F.length(coefficient) < 29) | ((F.length(coefficient) == 29) & (coefficient <= LARGEST)))
     negative = minus != (F.col(sign) == "NEGATE")
     literal = F.concat(F.when(left == "", F.lit("0")).otherwise(left), F.when(right == "", F.lit("")).otherwise(F.concat(F.lit("."), right)))
     value = F.when(negative & (coefficient != ""), F.concat(F.lit("-"), literal)).otherwise(literal)
     reason = F.when(bad_shift, F.lit(MALFORMED)).when(~fits, F.lit(NUMERIC))
-    return df.withColumn("diagnostic", reason).withColumn("normalized", F.when(reason.isNull(), value))
+    return x.select(*df.columns, reason.alias("diagnostic"), F.when(reason.isNull(), value).alias("normalized"))
 
 
 def metric_applicability(df: DataFrame) -> DataFrame:
@@ -145,8 +149,8 @@ def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fu
     """Adds ``diagnostics``: CODE@/pointer for shape, vocabulary, chronology, lineage and receipt rules."""
     text = F.col(column)
     schema = ", ".join(f"{f} string" for f in ENVELOPE)
-    e = F.from_json(text, schema)
-    names = F.json_object_keys(text)
+    staged = df.withColumns({"__e": F.from_json(text, schema), "__names": F.json_object_keys(text), "__sound": F.try_parse_json(text).isNotNull()})
+    e, names = F.col("__e"), F.col("__names")
     at = lambda c: F.try_to_timestamp(e[c])
     number = lambda c: e[c].try_cast("long")
     code = lambda test, c, pointer: F.when(test, F.lit(f"{c}@{pointer}"))
@@ -164,5 +168,5 @@ def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fu
         code(e["revisionSeriesId"] != series, MALFORMED, "/revisionSeriesId"), code(~is_sha256(e["payloadSha256"]), MALFORMED, "/payloadSha256"),
         code((e["claim"] != "FundamentalFact") & e["receipt"].isNull(), MALFORMED, "/receipt"),
     ]
-    broken = F.try_parse_json(text).isNull() | names.isNull()
-    return df.withColumn("diagnostics", F.when(broken, F.array(F.lit(f"{MALFORMED}@/"))).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*checks))))))
+    broken = ~F.col("__sound") | names.isNull()
+    return staged.withColumn("diagnostics", F.when(broken, F.array(F.lit(f"{MALFORMED}@/"))).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*checks)))))).drop("__e", "__names", "__sound")

@@ -51,7 +51,7 @@ def _src2(spark, sf):
     docs = rows.groupBy("session_date").agg(F.collect_list(item).alias("rows"))  # one panel of instruments per session
     body = docs.select("session_date", F.to_json(F.struct(F.lit(1).alias("schema_version"), s("session_date").alias("session_date"), F.concat(s("session_date"), F.lit("T13:00:00Z")).alias("captured_at"), F.lit("UNPROVEN_PERSONAL").alias("session_proof"), F.lit("alpha").alias("source_id"), "rows")).alias("value"))
     root = fs.workspace(spark)
-    named = body.withColumn("year", F.year("session_date")).withColumn("day", s("session_date"))
+    named = body.select("value", F.year("session_date").alias("year"), s("session_date").alias("day"))
     # The store names files by session; Spark names its own part files, so the copy is by partition folders.
     named.repartition("day").write.partitionBy("year", "day").text(f"{root}/store")
     raw = spark.read.schema(fs.CAPTURE).option("recursiveFileLookup", "true").json(f"{root}/store")
