@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import decimal_state, exact_decimal, first_reason, is_sha256, reasons_where
+from tidemark.functions.scalar import decimal_state, is_sha256, reasons_where
 from tidemark.operators.pit import bars_as_of, interval_lookup, latest_by
 from tidemark.session import shared
 
@@ -30,13 +30,15 @@ def validate_bars(df: DataFrame) -> DataFrame:
 def admit_bars(df: DataFrame) -> DataFrame:
     """Adds ``reason`` (null when admitted) for stored bars whose prices are kept as text."""
     prices = ("open", "high", "low", "close")
-    text = [*prices, "adjusted_close"]
-    states = [F.when(F.col(c).isNotNull() | F.lit(c != "adjusted_close"), decimal_state(c)) for c in text]
-    number = F.coalesce(*[F.when(s != "OK", s) for s in states])
-    o, h, low, c = (exact_decimal(x) for x in prices)
+    text = (*prices, "adjusted_close")
+    # Text checks become columns first, so each price is parsed once.
+    x = df.withColumns({f"__s_{c}": F.when(F.col(c).isNotNull() | F.lit(c != "adjusted_close"), decimal_state(c)) for c in text})
+    x = x.withColumns({f"__n_{c}": F.col(c).try_cast("double") for c in text})
+    number = F.coalesce(*[F.when(F.col(f"__s_{c}") != "OK", F.col(f"__s_{c}")) for c in text])
+    o, h, low, c = (F.col(f"__n_{p}") for p in prices)
     broken = (
         (F.least(o, h, low, c) <= 0) | (h < o) | (h < c) | (h < low) | (low > o) | (low > c) | (F.col("volume") < 0)
-        | F.coalesce(exact_decimal("adjusted_close") <= 0, F.lit(False))
+        | F.coalesce(F.col("__n_adjusted_close") <= 0, F.lit(False))
         | (F.trim("volume_unit") == "") | (F.trim("volume_basis") == "") | (F.trim("market_segment") == "")
     )
     unproven = (
@@ -51,7 +53,7 @@ def admit_bars(df: DataFrame) -> DataFrame:
         .when(number.isNotNull(), number)
         .when(broken | ~is_sha256("content_hash"), F.lit("CANONICAL_INVALID"))
     )
-    return df.withColumn("reason", reason)
+    return x.select(*df.columns, reason.alias("reason"))
 
 
 def _with_interval(df: DataFrame, pairs: DataFrame, facts: DataFrame, fields: list[str], tag: str) -> DataFrame:
