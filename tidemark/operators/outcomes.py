@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import set_digest
-from tidemark.functions.scalar import first_reason, is_sha256, local_date, percent_change
+from tidemark.functions.scalar import first_reason, is_sha256, local_date, local_day_start, percent_change, uuid_from_hex
 from tidemark.operators.calendar import CLOSED
 from tidemark.operators.pit import instant
+from tidemark.operators.scan import asof_lookup
 from tidemark.operators.screener import SHORTLIST
 
 # Fixed values.
 HORIZONS = (1, 5, 10, 20)
-OUTCOME_POLICY = "outcome-v0.1.0"
+OUTCOME_POLICY, OUTCOME_POLICY_V2 = "outcome-v0.1.0", "outcome-v0.2.0"
 TERMINAL = ("AVAILABLE", "ANCHOR_UNAVAILABLE", "DATA_UNAVAILABLE", "BASIS_UNCERTAIN")
 DATA_REASONS = ("SUSPENDED_AT_HORIZON", "NO_TRADE_AT_HORIZON", "POST_DELISTING", "SPECIAL_REGIME_UNSUPPORTED", "ENDPOINT_CLASSIFICATION_UNSUPPORTED")
 BASIS_REASONS = ("UNIT_CHANGING_EVENT", "CAPITAL_ACTION_UNSUPPORTED", "SECURITY_CONVERSION_UNSUPPORTED", "PRICE_CONVENTION_UNSUPPORTED")
@@ -260,6 +261,46 @@ def input_digest(selection: DataFrame, keys: Sequence[str]) -> DataFrame:
     return selection.groupBy(*keys).agg(set_digest(F.to_json(F.struct(*fields))).alias("input_digest"), F.count("*").alias("inputs"))
 
 
+def enroll(candidates: DataFrame) -> DataFrame:
+    """Enrollment of promoted candidates: known before the local midnight that ends their session, else late.
+
+    ``candidates``: candidate_id, instrument_id, session_date, known_at, close.
+    """
+    deadline = local_day_start(F.date_add("session_date", 1))
+    late = F.col("known_at") >= deadline
+    early = F.col("known_at") < local_day_start(F.col("session_date"))
+    identity = F.sha2(F.to_json(F.struct("candidate_id", "instrument_id", "session_date", F.lit(OUTCOME_POLICY_V2).alias("policy"))), 256)
+    return candidates.select(
+        *candidates.columns, uuid_from_hex(identity).alias("enrollment_id"),
+        F.when(early, F.lit("BEFORE_SESSION")).when(late, F.lit("ENROLLMENT_DEADLINE_PASSED")).otherwise(F.lit("ENROLLED")).alias("enrollment_state"))
+
+
+def assess(enrollments: DataFrame, calendar: DataFrame, closes: DataFrame, breaks: DataFrame, at, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """Outcome of each enrollment and horizon from session evidence, endpoint closes and known breaks.
+
+    ``closes``: instrument_id, session_date, close (admitted); ``breaks``: instrument_id, break_date, reason.
+    The earliest break after the session decides comparability, so breaks are reduced before the join.
+    """
+    live = enrollments.where("enrollment_state = 'ENROLLED'")
+    runs = live.select(F.col("enrollment_id").alias("run_id"), F.col("session_date").alias("target_session"), F.col("known_at").alias("captured_at"), F.col("session_date").alias("through"))
+    cells = live.join(resolve_horizons(runs, calendar, at, horizons).withColumnRenamed("run_id", "enrollment_id"), "enrollment_id")
+    ends = closes.select("instrument_id", F.col("session_date").alias("horizon_date"), F.col("close").alias("endpoint_close"))
+    starts = cells.select("instrument_id", F.col("session_date").alias("__day")).distinct()
+    back = lambda c: F.date_sub(F.lit("9999-12-31").cast("date"), F.unix_date(c))
+    ahead = asof_lookup(
+        starts.withColumn("__probe", back(F.date_add("__day", 1))), breaks.groupBy("instrument_id", "break_date").agg(F.min("reason").alias("reason")).withColumn("__at", back(F.col("break_date"))),
+        ["instrument_id"], "__probe", "__at", ["break_date", "reason"], block="year").select("instrument_id", F.col("__day").alias("session_date"), "break_date", F.col("reason").alias("break_reason"))
+    x = cells.join(ends, ["instrument_id", "horizon_date"], "left").join(ahead, ["instrument_id", "session_date"], "left")
+    broken = F.col("break_date") <= F.col("horizon_date")
+    value = percent_change("endpoint_close", "close")
+    state = (
+        F.when(F.col("horizon_date").isNull(), F.col("horizon_state")).when(broken, F.lit("BASIS_UNCERTAIN")).when(F.col("endpoint_close").isNull(), F.lit("UNRESOLVED"))
+        .when(value.isNull(), F.lit("UNRESOLVED")).otherwise(F.lit("AVAILABLE")))
+    reason = (
+        F.when(F.col("horizon_date").isNull(), F.col("horizon_reason")).when(broken, F.col("break_reason")).when(F.col("endpoint_close").isNull(), F.lit("HORIZON_BAR_MISSING")).when(value.isNull(), F.lit("NUMERIC_OUT_OF_RANGE")))
+    return x.select("enrollment_id", "instrument_id", "horizon_sessions", "horizon_date", state.alias("state"), reason.alias("outcome_reason"), F.when(state == "AVAILABLE", value).alias("price_return_pct"))
+
+
 def audit_manifests(runs: DataFrame, links: DataFrame) -> DataFrame:
     """Violations of capture manifests: clocks, window, uniqueness, hash shape. ``links`` are bar links."""
     code = lambda df, c: df.select("run_id", F.lit(c).alias("violation")).distinct()

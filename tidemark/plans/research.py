@@ -337,3 +337,20 @@ UNION ALL SELECT run_id, instrument_id, horizon_sessions, 'DATA_REASON_INVALID'
 UNION ALL SELECT run_id, instrument_id, horizon_sessions, 'HORIZON_ALIGNMENT_MISMATCH' FROM j WHERE (run_id, horizon_sessions) IN (SELECT (run_id, horizon_sessions) FROM j GROUP BY run_id, horizon_sessions HAVING count(DISTINCT horizon_date) > 1)""")
 def _sm26b(spark, sf):
     return oc.audit_outcomes(table(spark, sf, "audited_outcomes"), table(spark, sf, "audited_calendars"))
+
+
+TEXT["candidates"] = """
+SELECT concat('K', CAST(seq AS VARCHAR(20))) AS candidate_id, flag AS instrument_id, session_date, CAST(session_date AS TIMESTAMP) + CASE WHEN disc = 1 THEN INTERVAL '18' HOUR WHEN disc = 2 THEN INTERVAL '-8' HOUR ELSE INTERVAL '11' HOUR END AS known_at, px AS close, disc FROM {{trades}}"""
+
+
+@query("sm20_enroll", """
+SELECT candidate_id, CASE disc WHEN 1 THEN 'ENROLLMENT_DEADLINE_PASSED' WHEN 2 THEN 'BEFORE_SESSION' ELSE 'ENROLLED' END AS enrollment_state FROM {{candidates}}""")
+def _sm20(spark, sf):
+    return oc.enroll(table(spark, sf, "candidates")).select("candidate_id", "enrollment_state")
+
+
+@query("sm20_assess")
+def _sm20b(spark, sf):
+    closes = table(spark, sf, "bars_dense").select("instrument_id", "session_date", "close")
+    breaks = table(spark, sf, "bars_dense").where("volume > 900").select("instrument_id", F.col("session_date").alias("break_date"), F.lit("UNIT_CHANGING_EVENT").alias("reason"))
+    return oc.assess(oc.enroll(table(spark, sf, "candidates")), table(spark, sf, "resolved_days"), closes, breaks, NOW)
