@@ -56,8 +56,8 @@ FEATURE = {
 }
 
 
-# One product of the same two doubles in both engines; rounding it would only add ties.
-EXACT = ("dailyValueProxyIdr",)
+# Single prices or one product of the same two doubles in both engines; rounding would only add ties.
+EXACT = ("dailyValueProxyIdr", "priorHigh20", "priorLow20")
 
 
 def state_sql(name: str) -> str:
@@ -167,11 +167,11 @@ def _wn17(spark, sf):
 
 
 @query("jn1_align_benchmark", """
-SELECT r.instrument_id, r.session_date, r.pos, round(CAST(b.close AS DOUBLE), 6) AS b_close,
+SELECT r.instrument_id, r.session_date, r.pos, CAST(b.close AS DOUBLE) AS b_close,
  count(b.close) OVER (PARTITION BY r.instrument_id, r.run_id ORDER BY r.pos ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 21 AS aligned_21
 FROM {{run_rows}} r LEFT JOIN {{benchmark_daily}} b ON b.session_date = r.session_date""")
 def _jn1(spark, sf):
-    return ft.feature_values(aligned(spark, sf)).select("instrument_id", "session_date", "pos", F.round("b_close", 6).alias("b_close"), (F.col("__aligned_20") == 21).alias("aligned_21"))
+    return ft.feature_values(aligned(spark, sf)).select("instrument_id", "session_date", "pos", "b_close", (F.col("__aligned_20") == 21).alias("aligned_21"))
 
 
 @query("ud1_smooth_function", """
