@@ -31,3 +31,15 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     folder = work_folder(df.sparkSession, kind)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def text_bytes(batch, name: str = "text") -> list[bytes | None]:
+    """A string column of an Arrow batch as UTF-8 bytes."""
+    import pyarrow as pa
+
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+
+
+def is_under(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows; reads no more than needed to tell."""
+    return df.limit(rows + 1).count() <= rows

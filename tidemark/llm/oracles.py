@@ -30,3 +30,18 @@ WITH tpl AS (SELECT template, label, string_split(text, ' ') AS tw, len(string_s
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
    coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(n_spans, 0) AS n_spans
 FROM docs LEFT JOIN per USING (r)"""
+
+
+#: ASCII white space as a DuckDB expression.
+BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
+def line_dedup(min_docs: int = 10) -> str:
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ l AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs),
+ k AS MATERIALIZED (SELECT r, line, pos, translate(trim(line, {BLANK}), '{UPPER}', '{LOWER}') AS key FROM l),
+ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= {min_docs}),
+ per AS (SELECT r, count(*) FILTER (hot.key IS NOT NULL) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hot.key IS NULL), '') AS kept
+         FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM docs JOIN per USING (r)"""

@@ -34,3 +34,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.line_dedup())
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import LineIndex, drop_frequent_lines
+
+    docs = table(spark, sf_dir, "documents")
+    kept = drop_frequent_lines(docs.select("doc_id", "text"), LineIndex.build(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fertility import fertility_filter
+
+    return fertility_filter(table(spark, sf_dir, "documents"))
