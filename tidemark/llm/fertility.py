@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,17 @@ SCRIPTS = (
     ("thai", 0x0E00, 0x0E7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
 
+# Fixed value: the public pattern that splits text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 METRICS = ("chars_per_token", "byte_share", "entropy_share")
 MEASURE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, entropy_share double, script string"
 
 #: A band reaches so many quartile ranges beyond the quartiles of its group, and at least so far from the median.
-REACH = 4.0
-LEAST_WIDTH = {"chars_per_token": 0.8, "byte_share": 0.1, "entropy_share": 0.15}
+REACH = {"chars_per_token": 4.0, "byte_share": 4.0, "entropy_share": 1.25}
+LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.1, "entropy_share": 0.15}
+#: Measures of short texts scatter: a text of n words has bands wider by the factor 1 + SHORT_WORDS / n.
+SHORT_WORDS = 10
 #: Documents a group needs for bands of its own; smaller groups take those of all documents.
 GROUP_DOCS = 100
 #: Words from which a text is long enough for its bands; below, n_words decides alone.
@@ -56,21 +62,26 @@ def _script(word: str) -> int:
     return len(SCRIPTS)
 
 
+@lru_cache(maxsize=1)
+def _vocabularies(folder: str):
+    """Both encoders, loaded once a worker process."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    with open(os.path.join(folder, "byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = PATTERN
+    pieces = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, "piece_bpe_32k.model"))
+    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pieces, [pieces.is_byte(i) for i in range(pieces.vocab_size())]
+
+
 class Lexicon:
     """Words seen by a task with their cuts, in flat arrays."""
 
     def __init__(self, folder: str):
-        import base64
-
-        import sentencepiece
-        import tiktoken
-
-        with open(os.path.join(folder, "byte_bpe_multi_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-        self.bytes_bpe = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, "piece_bpe_32k.model"))
-        self.is_byte = [self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())]
+        self.bytes_bpe, self.pieces, self.is_byte = _vocabularies(folder)
         self.clear()
 
     def clear(self) -> None:
@@ -218,16 +229,16 @@ def _quartiles(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _edges(q: Column, metric: str) -> tuple[Column, Column]:
-    spread = REACH * (q[2] - q[0])
+    spread = REACH[metric] * (q[2] - q[0])
     least = F.lit(LEAST_WIDTH[metric])
     return F.least(q[0] - spread, q[1] - least), F.greatest(q[2] + spread, q[1] + least)
 
 
 def fit_bands(measured: DataFrame) -> DataFrame:
-    """(band, docs, <metric>_low, <metric>_high): bands per language or script over all texts of MIN_WORDS words, and for band null over all groups."""
+    """(band, docs, <metric>_middle, <metric>_low, <metric>_high): bands per language or script over all texts of MIN_WORDS words, and for band null over all groups."""
     rows = measured.where(F.col("n_words") >= MIN_WORDS).withColumn("band", F.coalesce("lang", "script"))
     every = _quartiles(rows, "band").where(F.col("docs") >= GROUP_DOCS).unionByName(_quartiles(rows.withColumn("band", F.lit(None).cast("string")), "band"))
-    return every.select("band", "docs", *[e.alias(f"{m}_{side}") for m in METRICS for side, e in zip(("low", "high"), _edges(F.col(m), m), strict=True)])
+    return every.select("band", "docs", *[e.alias(f"{m}_{side}") for m in METRICS for side, e in zip(("middle", "low", "high"), (F.col(m)[1], *_edges(F.col(m), m)), strict=True)])
 
 
 def fertility_filter(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
@@ -242,9 +253,15 @@ def fertility_filter(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataF
     bands = fit_bands(measured)
     whole = bands.where("band IS NULL").drop("band", "docs")
     own = bands.where("band IS NOT NULL").drop("docs").withColumnRenamed("band", "__band")
-    edges = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
+    edges = [f"{m}_{side}" for m in METRICS for side in ("middle", "low", "high")]
     joined = measured.withColumn("band", F.coalesce("lang", "script")).join(own, F.col("band") == F.col("__band"), "left").join(F.broadcast(whole.select(*[F.col(e).alias(f"__{e}") for e in edges])), F.lit(True), "left")
-    beyond = [F.when(~F.col(m).between(F.coalesce(f"{m}_low", f"__{m}_low"), F.coalesce(f"{m}_high", f"__{m}_high")), F.lit(m)) for m in METRICS]
+    wider = 1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1))
+
+    def inside(m: str) -> Column:
+        middle, low, high = (F.coalesce(f"{m}_{x}", f"__{m}_{x}") for x in ("middle", "low", "high"))
+        return F.col(m).between(middle - (middle - low) * wider, middle + (high - middle) * wider)
+
+    beyond = [F.when(~inside(m), F.lit(m)) for m in METRICS]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = joined.withColumn("base_failed", failed).withColumn("outside", F.when(F.col("n_words") >= MIN_WORDS, F.concat_ws(",", *beyond)).otherwise(F.lit("")))
     return judged.select(

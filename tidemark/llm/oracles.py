@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import license_scan as ls
+from tidemark.llm import mixing as mx
 from tidemark.llm.common import LOWER, UPPER
 
 
@@ -45,3 +46,28 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_spli
  per AS (SELECT r, count(*) FILTER (hot.key IS NOT NULL) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hot.key IS NULL), '') AS kept
          FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY r)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM docs JOIN per USING (r)"""
+
+
+def mixing() -> str:
+    weights = ", ".join(str(w) for w in mx.WEIGHTS)
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mx.WORD}')) AS BIGINT) AS size,
+   md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '/', md5(coalesce(text, '')))) AS place FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{weights}][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(mx.WEIGHTS)} + 1]::DOUBLE AS weight FROM d GROUP BY source),
+ r AS (SELECT *, {mx.LIMIT} * source_size / weight AS ratio, {mx.SHARE} * sum(source_size) OVER () AS total FROM s),
+ lv AS (SELECT *, (total - {mx.LIMIT} * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM r
+   WINDOW b AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ rt AS (SELECT *, first_value(CASE WHEN ratio > level THEN level END IGNORE NULLS) OVER (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate FROM lv),
+ t AS (SELECT source, source_size, CASE WHEN rate IS NULL THEN {mx.LIMIT} * source_size ELSE rate * weight END AS target FROM rt),
+ c AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS sid, CAST(ceil(source_size / {mx.BLOCK}) AS BIGINT) AS blocks FROM t WHERE source_size > 0),
+ w AS (SELECT *, target / (source_size / blocks) AS wanted FROM c),
+ h AS (SELECT *, CASE WHEN lead(sid) OVER (ORDER BY sid) IS NULL THEN 1.0 ELSE sum(wanted) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / sum(wanted) OVER () END AS high FROM w),
+ src AS MATERIALIZED (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0.0) AS low FROM h),
+ pts AS (SELECT n AS slot, n * {mx.GOLDEN}::DOUBLE - floor(n * {mx.GOLDEN}::DOUBLE) AS point FROM range((SELECT CAST(ceil(sum(wanted)) AS BIGINT) FROM src)) x(n)),
+ dealt AS (SELECT slot, sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS turn FROM pts JOIN src ON low <= point AND point < high),
+ uses AS (SELECT sid, turn % blocks AS block, count(*) AS times FROM dealt WHERE turn < {mx.LIMIT} * blocks GROUP BY ALL),
+ m AS MATERIALIZED (SELECT doc_id, place, d.size, sid, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+   t.source_size, t.target, row_number() OVER () AS r FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN src ON src.source IS NOT DISTINCT FROM t.source),
+ p AS (SELECT r, sid, start, size, unnest(range(start // {mx.BLOCK}, (start + size - 1) // {mx.BLOCK} + 1)) AS block FROM m WHERE size > 0),
+ tk AS (SELECT r, CAST(sum(times * (least((block + 1) * {mx.BLOCK}, start + size) - greatest(block * {mx.BLOCK}, start))) AS BIGINT) AS taken FROM p JOIN uses USING (sid, block) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM m LEFT JOIN tk USING (r)"""

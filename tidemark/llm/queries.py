@@ -50,3 +50,10 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fertility import fertility_filter
 
     return fertility_filter(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.mixing())
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).drop("source")
