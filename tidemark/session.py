@@ -27,7 +27,7 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 def build_session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Creates a session; on a cluster the master and sizes come from spark-submit."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
