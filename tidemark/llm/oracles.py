@@ -71,3 +71,13 @@ WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coale
  p AS (SELECT r, sid, start, size, unnest(range(start // {mx.BLOCK}, (start + size - 1) // {mx.BLOCK} + 1)) AS block FROM m WHERE size > 0),
  tk AS (SELECT r, CAST(sum(times * (least((block + 1) * {mx.BLOCK}, start + size) - greatest(block * {mx.BLOCK}, start))) AS BIGINT) AS taken FROM p JOIN uses USING (sid, block) GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM m LEFT JOIN tk USING (r)"""
+
+
+def warc() -> str:
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+   array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, 1 + 5 * i, 5))::INT >> (15 - 5 * j)::INT) & 31), 1)), 'string_agg', '')), '') AS payload_digest,
+   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""

@@ -57,3 +57,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixed
 
     return mixed(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query(oracles.warc())
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import work_folder
+    from tidemark.llm.warc import read_archives, with_revisits, write_archives
+
+    folder = work_folder(spark, "warc")
+    write_archives(with_revisits(table(spark, sf_dir, "pages")), folder)
+    back = read_archives(spark, folder).where(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
+    intact = F.when(F.col("digest_ok").isNull() | F.col("digest_ok"), F.col("payload_digest"))
+    return back.select(
+        F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"), "payload_bytes", intact.alias("payload_digest"), "record_type", F.when(number("refers_to") != "", number("refers_to")).cast("long").alias("refers_to")
+    )
