@@ -81,3 +81,19 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
    array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, 1 + 5 * i, 5))::INT >> (15 - 5 * j)::INT) & 31), 1)), 'string_agg', '')), '') AS payload_digest,
    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f"""
+
+
+def jaccard(width: int = 4, percent: int = 85) -> str:
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT r, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(len(w) - {width} + 1), lambda i: array_to_string(w[i + 1 : i + {width}], ' ')) END) AS sh FROM d),
+ x AS MATERIALIZED (SELECT hash(sh) AS g, min(r) AS r, first(sh) AS sh FROM (SELECT r, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
+ t AS MATERIALIZED (SELECT r, len(sh) AS n, hash(unnest(sh)) AS h FROM x),
+ o AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.h = b.h AND a.r < b.r AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.r, b.r),
+ l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * c >= {percent} * (na + nb - c)),
+ e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT x.r, x.r FROM x),
+ reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+ low AS (SELECT reach.a AS r, min(y.doc_id) AS component_id FROM reach JOIN x z ON z.r = reach.b JOIN (SELECT list_sort(sh) AS sh, doc_id FROM s JOIN d USING (r) WHERE len(sh) > 0) y ON y.sh = z.sh GROUP BY reach.a)
+SELECT d.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN d.doc_id ELSE low.component_id END AS component_id
+FROM d JOIN s USING (r) LEFT JOIN x ON x.sh = list_sort(s.sh) LEFT JOIN low ON low.r = x.r"""

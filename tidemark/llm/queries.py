@@ -72,3 +72,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"), "payload_bytes", intact.alias("payload_digest"), "record_type", F.when(number("refers_to") != "", number("refers_to")).cast("long").alias("refers_to")
     )
+
+
+@query(oracles.jaccard())
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
