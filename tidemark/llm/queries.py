@@ -79,3 +79,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
