@@ -86,3 +86,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_features", "log_ratio", "score", "key")
