@@ -100,3 +100,10 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.resample import resample
 
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_features", "log_ratio", "score", "key")
+
+
+@query()
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pseudonyms import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key for tests")
