@@ -37,8 +37,10 @@ BATCH_TOKENS, FREQUENT, NOTED = 2_048, 0.005, 65_536
 FLOOR, MULTIPLES = 24, (1.0, 1.5, 2.0, 3.0)
 #: Shares of a set from which step 4 takes the shared tokens to ask for.
 LADDER = (0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8)
-#: Cost of a candidate's verification per token of the set, against passing on one prefix token; expected documents that share a rare token.
-VERIFY, RARE = 0.06, 0.15
+#: Costs against passing on one prefix token: of a shared token in the join, and of a candidate's verification per token of its set.
+JOINED, VERIFY = 2.0, 0.06
+#: Expected documents that share a token that is not noted.
+RARE = 0.15
 
 
 class _Hashes(dict):
@@ -131,7 +133,7 @@ def prefix_choice(n: int, unlinked: int, costs, choices: list[int]) -> int:
     best, least = choices[0], None
     for m in choices:
         length = min(n, unlinked + m)
-        cost = length + VERIFY * n * costs[length] / m
+        cost = length + (JOINED + VERIFY * n / m) * costs[length]
         if least is None or cost < least:
             best, least = m, cost
     return best
@@ -151,20 +153,22 @@ def survivors(docs: DataFrame, noted: tuple, width: int, percent: int) -> DataFr
             for tokens in _sets(text_bytes(batch), hashes, width):
                 if tokens is None:
                     continue
-                n = len(tokens)
+                n, sig = len(tokens), _signature(tokens)
                 cost = np.full(n, RARE)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    often = known[at] == tokens
-                    cost[often] = weight[at[often]]
-                order = np.lexsort((tokens, cost))
+                    often = np.flatnonzero(known[at] == tokens)
+                    if len(often):
+                        cost[often] = weight[at[often]]
+                        order = np.argsort(cost, kind="stable")
+                        tokens, cost = tokens[order], cost[order]
                 unlinked = n - -(-percent * n // 100)
                 base = 1 + n // FLOOR
-                upto = np.concatenate([[0.0], np.cumsum(cost[order])])
+                upto = np.concatenate([[0.0], np.cumsum(cost)])
                 m = prefix_choice(n, unlinked, upto, sorted({max(1, int(base * x)) for x in MULTIPLES if int(base * x) <= n - unlinked} or {1}))
-                tokens_out.append(tokens[order[: min(n, unlinked + m)]])
+                tokens_out.append(tokens[: min(n, unlinked + m)])
                 sizes.append(len(tokens_out[-1]))
-                sig_out.append(_signature(tokens))
+                sig_out.append(sig)
                 need_out.append(min(m, floor_matches(n, percent)))
             if tokens_out:
                 repeat = np.repeat(np.arange(len(sizes)), sizes)
@@ -237,7 +241,8 @@ def shared_tokens(docs: DataFrame, chosen: DataFrame, width: int, percent: int)
             out = []
             for n, tokens in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 docs = tokens.values.field(0).to_numpy()
-                own, unlinked = n - len(docs), n - -(-percent * n // 100)
+                # Costs are those of partners of the same size, the usual ones: with them a pair's prefix is shortest.
+                own, unlinked = n - len(docs), n - -(-2 * percent * n // (100 + percent))
                 upto = np.concatenate([np.zeros(own + 1), np.cumsum(docs - 1.0)])
                 out.append(prefix_choice(n, unlinked, upto, sorted({max(1, int(n * x)) for x in LADDER if int(n * x) <= n - unlinked} or {1})))
             plain = pa.array([t.values.field(1).to_numpy() for t in batch.column(2)], pa.list_(pa.int64()))
@@ -258,36 +263,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ta", "tb")) >= _least_overlap(percent)).select("a", "b")
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (a, n, own, m) and (b, n2, own2, m2), a row for each shared prefix token: those that share enough and may overlap enough."""
-    fits = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) >= _least_overlap(percent)
-    grouped = met.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("m", "m2")).alias("need"))
+def _met(pairs: DataFrame, percent: int):
+    """Whether a shared token of (a: n, own, m, place) and (b: n2, own2, m2, place2) counts: it stands in both prefixes that a pair of
+    these sizes needs, and the sets may overlap enough."""
+    least, m = _least_overlap(percent), F.least("m", "m2")
+    fits = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) >= least
+    return pairs.where(fits & (F.col("place") < F.col("n") - least + m) & (F.col("place2") < F.col("n2") - least + m))
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix tokens as both ask for."""
+    grouped = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("m", "m2")).alias("need"))
     return grouped.where("shared >= need").select("a", "b")
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links that join whatever links join; sets in one class need not all be paired."""
     length = F.least(F.col("n") - F.ceil(percent * F.col("n") / 100) + F.col("m"), F.col("n")) - F.col("own")
-    prefix = sets.where(length > 0).select("sig", "n", "own", "m", F.explode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("token"))
-    rows = written(prefix, "jaccard-prefix")
-    key = F.struct((F.col("own") / F.col("n")).alias("alone"), F.col("n").alias("n2"), F.col("sig").alias("b"), F.col("own").alias("own2"), F.col("m").alias("m2"))
-    leaders = written(rows.groupBy("token").agg(F.min(key).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "leader.b", "leader.n2", "leader.own2", "leader.m2"), "jaccard-leaders")
-    star = rows.withColumnRenamed("sig", "a").join(leaders, "token").where("a <> b")
-    joined = written(_verified(_candidates(star, percent), sets, percent), "jaccard-star")
+    prefix = sets.where(length > 0).select("sig", "n", "own", "m", F.posexplode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("at", "token"))
+    rows = written(prefix.select("sig", "n", "own", "m", (F.col("own") + F.col("at")).alias("place"), "token"), "jaccard-prefix")
+    second = {"sig": "b", "n": "n2", "own": "own2", "m": "m2", "place": "place2"}
+    key = F.struct((F.col("own") / F.col("n")).alias("alone"), *[F.col(x).alias(y) for x, y in second.items()])
+    leaders = written(rows.groupBy("token").agg(F.min(key).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("token", *[f"leader.{y}" for y in second.values()]), "jaccard-leaders")
+    star = _met(rows.withColumnRenamed("sig", "a").join(leaders, "token").where("a <> b"), percent)
+    joined = written(_verified(_candidates(star), sets, percent), "jaccard-star")
     found = components(joined)
     # A set without a link yet is a class of its own.
     label = F.coalesce("component", "sig")
-    labelled = written(rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "own", "m", label.alias("class")), "jaccard-classes")
+    labelled = written(rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").select(*rows.columns, label.alias("class")), "jaccard-classes")
     lead = leaders.select("token", F.col("b").alias("sig")).join(found.withColumnRenamed("node", "sig"), "sig", "left").select("token", label.alias("lead"))
     several = labelled.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
     mixed = labelled.join(several.join(lead, "token"), "token")
-    others = mixed.where("class <> lead").select("token", F.col("sig").alias("a"), "n", "own", "m", F.col("class").alias("class1"))
-    every = mixed.select("token", F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("m").alias("m2"), F.col("class").alias("class2"), (F.col("class") != F.col("lead")).alias("other"))
-    fits = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) >= _least_overlap(percent)
+    others = mixed.where("class <> lead").select("token", F.col("sig").alias("a"), "n", "own", "m", "place", F.col("class").alias("class1"))
+    every = mixed.select("token", *[F.col(x).alias(y) for x, y in second.items()], F.col("class").alias("class2"), (F.col("class") != F.col("lead")).alias("other"))
     # Each pair once: from the side that is not in the leader's class, and if neither is, from the lesser.
-    crossing = others.join(every, "token").where((F.col("class1") != F.col("class2")) & (~F.col("other") | (F.col("a") < F.col("b"))) & fits)
-    ordered = crossing.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"))], "n", "n2", "own", "own2", "m", "m2")
-    rest = written(_verified(_candidates(ordered, percent), sets, percent), "jaccard-rest")
+    crossing = _met(others.join(every, "token").where((F.col("class1") != F.col("class2")) & (~F.col("other") | (F.col("a") < F.col("b")))), percent)
+    ordered = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m", "m2")
+    rest = written(_verified(_candidates(ordered), sets, percent), "jaccard-rest")
     return joined.unionByName(rest)
 
 
