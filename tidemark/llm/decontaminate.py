@@ -60,7 +60,8 @@ class _Words(dict):
         text = raw.decode("utf-8", "replace")
         core = self.edge.sub("", text)
         value = core.lower()
-        closes = text[len(text.rstrip("\"')]}*#$%&!?.:")) :].strip("\"')]}*#$%&") != "" if text else False
+        tail = text[len(text.rstrip("\"')]}*#$%&!?.")) :]
+        closes = any(c in tail for c in ".!?")
         if not core:
             kind = NONE
         elif self.number.match(value) or value in self.numbers:
@@ -95,7 +96,9 @@ def canonical(text: bytes | None, words: _Words):
     starts = np.array(fresh)
     starts[1:] |= np.array(closes)[:-1]
     keep = kind != NONE
-    kind[(kind == CAPITAL) & starts] = WORD
+    # A capital at the start of a sentence is a name only if the word has one inside a sentence too.
+    first = (kind == CAPITAL) & starts
+    kind[first & ~np.isin(code, code[(kind == CAPITAL) & ~starts])] = WORD
     kind, code, kept = kind[keep], code[keep], np.flatnonzero(keep)
     after_number = np.zeros(len(kind), dtype=bool)
     after_number[1:] = kind[:-1] == NUMBER
