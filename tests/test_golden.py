@@ -12,7 +12,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import ledger as lg
 from tidemark.operators import pit
 from tidemark.operators import research as rs
-from tidemark.operators.screener import episode_step
+from tidemark.operators.episodes import Bar, advance
 
 
 def weekdays(n, start=date(2026, 8, 24)):
@@ -63,10 +63,10 @@ def test_smoothing_over_many_blocks_equals_the_plain_recursion(spark):
 def test_episode_boundaries():
     high = Decimal(100)
     for close, setup in (("97.99", "NONE"), ("98.00", "WATCH"), ("100.00", "WATCH"), ("100.01", "CONFIRMED")):
-        assert episode_step(None, "a", date(2026, 8, 24), "ELIGIBLE", Decimal(close), high)[1][0] == setup
+        assert advance(None, Bar("a", date(2026, 8, 24), Decimal(close), high), "ELIGIBLE")[1] == setup
     state, seen = None, []
     for i in range(7):
-        state, out = episode_step(state, "a", date(2026, 8, 24) + timedelta(i), "ELIGIBLE", Decimal(99), high)
+        state, *out = advance(state, Bar("a", date(2026, 8, 24) + timedelta(i), Decimal(99), high), "ELIGIBLE")
         seen.append((out[0], out[2]))
     assert seen[4] == ("WATCH", "WITHIN_WATCH_BAND") and seen[5] == ("NONE", "WATCH_EXPIRED") and seen[6][0] == "WATCH"
 

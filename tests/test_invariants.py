@@ -3,6 +3,7 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -57,6 +58,42 @@ def test_personal_store_keeps_the_highest_revision_and_names_corrupt_files(spark
     assert sorted(r.problem for r in corrupt.collect()) == ["BAD_REVISION", "YEAR_MISMATCH"]
 
 
+def test_a_range_over_366_days_is_refused(spark):
+    days = table(spark, SF, "bars_sparse")
+    assert fs.select_sessions(days, "2000-01-01", "2000-12-31").count() > 0
+    with pytest.raises(ValueError):
+        fs.select_sessions(days, "1999-01-01", "2000-01-02")
+
+
+@pytest.mark.parametrize("alpha", [0.01, 2 / 21, 0.5, 0.9, 1.0])
+def test_smoothing_is_exact_at_any_alpha_and_length(spark, alpha):
+    from tidemark.functions.smoothing import smoothing_stages
+
+    rng = random.Random(1)
+    xs = [rng.uniform(50, 150) for _ in range(5_000)]
+    df = spark.createDataFrame([("k", i + 1, x) for i, x in enumerate(xs)], "k string, at long, x double")
+    stages, value = smoothing_stages("s", F.col("x"), F.col("at"), 20, alpha, ["k"], "at")
+    for stage in stages:
+        df = df.withColumns(stage)
+    got = {r["at"]: r["v"] for r in df.select("at", value.alias("v")).collect()}
+    v = sum(xs[:20]) / 20
+    for i in range(20, 5_000):
+        v += alpha * (xs[i] - v)
+        assert abs(got[i + 1] - v) < 1e-9 * v
+
+
+def test_streams_equal_their_batch_twins_and_count_late_rows(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    rows = [("a", "2020-01-01 01:00:00", 0, "VALID", 2, 1), ("a", "2020-01-09 01:00:00", 5, "STALE", 1, 1), ("b", "2020-01-01 02:00:00", 1, "VALID", 1, 1), ("a", "2020-01-01 03:00:00", 1, "VALID", 3, 1)]
+    for i, r in enumerate(rows):  # the third and fourth come after a later day
+        spark.createDataFrame([r], "instrument_id string, at string, volume long, quality string, high int, low int").withColumn("known_at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {str(r["session_date"]): r for r in jobs.session_health_stream(stream(), f"{tmp_path}/health", 3).collect()}
+    assert {k: (r["bars"], r["instruments"], r["coverage_gap"], r["zero_volume"], r["flat"], r["not_valid"]) for k, r in got.items()} == {"2020-01-01": (3, 2, 1, 1, 1, 0), "2020-01-09": (1, 1, 2, 0, 1, 1)}
+    assert {str(r[0]): r[1] for r in jobs.completed_sessions(stream(), f"{tmp_path}/days").collect()} == {"2020-01-01": 3, "2020-01-09": 1}
+
+
 def test_entry_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Rows per scan block. Weights are rescaled inside a block so no power leaves the double range;
-#: over one whole block the smoothing weight of anything earlier than the previous block is below
-#: one part in 10**17 for every alpha used here, beyond what a double can hold.
-BLOCK = 1024
+#: Weights are rescaled inside a block of rows by at most e to this power, which a double holds with room to spare.
+RANGE = 600.0
+
+
+def block_rows(alpha: float) -> int:
+    """Rows of a scan block: over one whole block the weight of a value falls by a factor of about e**-RANGE.
+
+    What stands before the previous block weighs less than that, some 250 orders of magnitude below a double's last
+    digit, at any alpha and any length of a run.
+    """
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha lies above 0 and not above 1")
+    return 1 if alpha == 1.0 else max(1, math.floor(RANGE / -math.log1p(-alpha)))
 
 
 def smooth(values: Column, n: int, alpha: float) -> Column:
@@ -35,17 +46,17 @@ def smoothing_stages(name: str, x: Column, at: Column, n: int, alpha: float, key
     geometric weighted sum, so each block is one running sum of rescaled terms plus the decayed end
     of the block before it. Apply the returned dicts in turn.
     """
-    decay = 1.0 - alpha
+    decay, rows = 1.0 - alpha, block_rows(alpha)
     run: WindowSpec = Window.partitionBy(*keys).orderBy(order)
-    off = at % BLOCK
+    off = at % rows
     seed, term, local, end = f"__{name}_seed", f"__{name}_term", f"__{name}_local", f"__{name}_end"
     block = f"__{name}_block"
     within = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    first = {seed: F.avg(x).over(run.rowsBetween(-(n - 1), 0)), block: F.floor(at / BLOCK)}
+    first = {seed: F.avg(x).over(run.rowsBetween(-(n - 1), 0)), block: F.floor(at / rows)}
     second = {term: F.when(at == n, F.col(seed)).when(at > n, F.lit(alpha) * x) * F.pow(F.lit(decay), -off)}
     third = {local: F.pow(F.lit(decay), off) * F.sum(term).over(within)}
     fourth = {
-        end: F.last(F.when(off == BLOCK - 1, F.col(local)), ignorenulls=True).over(
+        end: F.last(F.when(off == rows - 1, F.col(local)), ignorenulls=True).over(
             run.rowsBetween(Window.unboundedPreceding, -1)
         )
     }

@@ -40,7 +40,7 @@ def normalize_amount(df: DataFrame, amount: str = "amount", power: str = "scale_
     x = x.withColumns({
         "__digits": F.concat(padding, F.col("__whole"), F.col("__fraction"), padding), "__point": F.lit(60) + F.length("__whole") + shift})
     digits, point = F.col("__digits"), F.col("__point")
-    x = x.withColumns({"__left": F.ltrim(digits.substr(F.lit(1), point), F.lit("0")), "__right": F.rtrim(digits.substr(point + 1, F.lit(400)), F.lit("0"))})
+    x = x.withColumns({"__left": F.ltrim(digits.substr(F.lit(1), point), F.lit("0")), "__right": F.rtrim(digits.substr(point + 1, F.length(digits)), F.lit("0"))})
     left, right = F.col("__left"), F.col("__right")
     x = x.withColumn("__coefficient", F.ltrim(F.concat(left, right), F.lit("0")))
     coefficient = F.col("__coefficient")

@@ -20,7 +20,6 @@ OUTCOME_POLICY, OUTCOME_POLICY_V2 = "outcome-v0.1.0", "outcome-v0.2.0"
 TERMINAL = ("AVAILABLE", "ANCHOR_UNAVAILABLE", "DATA_UNAVAILABLE", "BASIS_UNCERTAIN")
 DATA_REASONS = ("SUSPENDED_AT_HORIZON", "NO_TRADE_AT_HORIZON", "POST_DELISTING", "SPECIAL_REGIME_UNSUPPORTED", "ENDPOINT_CLASSIFICATION_UNSUPPORTED")
 BASIS_REASONS = ("UNIT_CHANGING_EVENT", "CAPITAL_ACTION_UNSUPPORTED", "SECURITY_CONVERSION_UNSUPPORTED", "PRICE_CONVENTION_UNSUPPORTED")
-MAX_DIFFERENCES = 100
 
 
 def resolve_horizons(runs: DataFrame, calendar: DataFrame, at, horizons: Sequence[int] = HORIZONS, limit=None) -> DataFrame:
@@ -213,7 +212,7 @@ def field_differences(stored: DataFrame, recomputed: DataFrame, keys: Sequence[s
 
 
 def verify_decisions(stored: DataFrame, recomputed: DataFrame, runs: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Verdict per run and its first differences (at most 100 per run, as reported; the count is whole).
+    """Verdict per run and all its differences; a report that shows only some may filter them.
 
     ``runs``: run_id, policy_supported, inputs_available.
     """
@@ -222,15 +221,14 @@ def verify_decisions(stored: DataFrame, recomputed: DataFrame, runs: DataFrame,
     x = runs.join(totals, "run_id", "left").withColumn("differences", F.coalesce("differences", F.lit(0)))
     verdict = F.when(~F.col("policy_supported"), F.lit("POLICY_VERSION_UNAVAILABLE")).when(
         ~F.col("inputs_available"), F.lit("INPUT_NOT_AVAILABLE")).when(F.col("differences") == 0, F.lit("MATCH")).otherwise(F.lit("DIFFERENT_RESULT"))
-    summary = x.select("run_id", verdict.alias("verdict"), "differences", (F.col("differences") > MAX_DIFFERENCES).alias("truncated"))
-    ranked = differences.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy("instrument_id", "field")))
-    return summary, ranked.where(F.col("__n") <= MAX_DIFFERENCES).drop("__n")
+    summary = x.select("run_id", verdict.alias("verdict"), "differences")
+    return summary, differences
 
 
 # The compared fields of an outcome.
 OUTCOME_FIELDS = (
-    "anchor_close", "anchor_date", "horizon_close", "horizon_date", "terminal_condition", "outcome_known_at", "outcome_policy_id",
-    "price_return_pct", "recorded_at", "schema_version", "outcome_reason", "state",
+    "anchor_close", "anchor_date", "horizon_close", "horizon_date", "horizon_sessions", "instrument_id", "terminal_condition", "outcome_known_at", "outcome_policy_id",
+    "price_return_pct", "recorded_at", "run_id", "schema_version", "outcome_reason", "state",
 )
 
 

@@ -274,12 +274,12 @@ def verification(spark, sf):
 
 
 @query("sm23_verify_decisions", f"""WITH {DIFFS}, t AS (SELECT run_id, count(*) AS n FROM diff GROUP BY 1)
-SELECT u.run_id, CASE WHEN universe_snapshot_id IS NULL THEN 'POLICY_VERSION_UNAVAILABLE' WHEN target_session IS NULL THEN 'INPUT_NOT_AVAILABLE' WHEN n IS NULL THEN 'MATCH' ELSE 'DIFFERENT_RESULT' END AS verdict, coalesce(n, 0) AS differences, coalesce(n, 0) > 100 AS truncated FROM {{{{decision_runs}}}} u LEFT JOIN t USING (run_id)""")
+SELECT u.run_id, CASE WHEN universe_snapshot_id IS NULL THEN 'POLICY_VERSION_UNAVAILABLE' WHEN target_session IS NULL THEN 'INPUT_NOT_AVAILABLE' WHEN n IS NULL THEN 'MATCH' ELSE 'DIFFERENT_RESULT' END AS verdict, coalesce(n, 0) AS differences FROM {{{{decision_runs}}}} u LEFT JOIN t USING (run_id)""")
 def _sm23(spark, sf):
     return verification(spark, sf)[0]
 
 
-@query("sm23_decision_differences", f"WITH {DIFFS} SELECT * FROM diff QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY instrument_id, field) <= 100")
+@query("sm23_decision_differences", f"WITH {DIFFS} SELECT * FROM diff")
 def _sm23b(spark, sf):
     return verification(spark, sf)[1]
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.functions.hashing import set_digest
 from tidemark.functions.scalar import first_reason, independent_reference, normalize_symbol, uuid_from_text
 from tidemark.operators.calendar import weekend
 from tidemark.operators.pit import resolve_instruments
+from tidemark.session import shared_folder
 
 # Fixed values.
 PRICES = ("open", "high", "low", "close", "adjusted_close")
@@ -23,13 +25,8 @@ DAY_STATUSES = ("ObservedTrading", "AnnouncedClosed", "ExceptionalClosure")
 
 
 def workspace(spark: SparkSession) -> str:
-    """Folder for intermediate files: the cluster's shared checkpoint folder, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-")
+    """A new folder for intermediate files under the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def parse_provider_payloads(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +84,12 @@ def read_personal_store(spark: SparkSession, root: str) -> tuple[DataFrame, Data
 
 
 def select_sessions(df: DataFrame, from_date=None, to_date=None, newest: int = 7) -> DataFrame:
-    """An inclusive range of at most 366 days, or the newest sessions."""
+    """An inclusive range of at most 366 days, or the newest sessions. A longer range is refused."""
     if from_date is not None:
-        return df.where(F.col("session_date").between(F.lit(from_date).cast("date"), F.lit(to_date).cast("date")) & (F.datediff(F.lit(to_date).cast("date"), F.lit(from_date).cast("date")) <= 365))
+        first, last = (d if isinstance(d, date) else date.fromisoformat(d) for d in (from_date, to_date))
+        if (last - first).days > 365:
+            raise ValueError(f"{first} to {last} is longer than 366 days")
+        return df.where(F.col("session_date").between(F.lit(first), F.lit(last)))
     days = df.select("session_date").distinct().orderBy(F.desc("session_date")).limit(newest)
     return df.join(days, "session_date", "left_semi")
 
