@@ -95,7 +95,7 @@ def personal_row_digest() -> Column:
 
 
 def set_digest(member: Column) -> Column:
-    """Aggregate: order-free digest of a group's members. Sums four 60-bit slices of each member's
+    """Aggregate: order-free digest of a group's members. Sums the four 64-bit quarters of each member's
     digest, so map tasks combine partial sums and no member list is ever built."""
-    slices = [F.sum(F.conv(F.substring(F.sha2(member, 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    slices = [F.sum(F.conv(F.substring(F.sha2(member, 256), 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")) for i in range(4)]
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[s.cast("string") for s in slices]), 256)

@@ -6,6 +6,7 @@ from tidemark.operators import ledger as lg
 from tidemark.operators import pit
 from tidemark.plans import calendar_days, health, portfolio  # noqa: F401
 from tidemark.plans.adapters import TEXT, table
+from tidemark.plans.market import APPEND_FOLD
 from tidemark.plans.registry import query
 from tidemark.sources import files as fs
 
@@ -41,21 +42,25 @@ SELECT instrument_id AS symbol, session_date, md5(concat(instrument_id, CAST(clo
 TEXT["capture_batches"] = "SELECT session_date, CASE WHEN count(*) < 8 THEN 'DEGRADED' ELSE 'SUCCEEDED' END AS status FROM {{bars_sparse}} GROUP BY session_date"
 
 
-@query("src2_read_personal_store")
+@query("src2_read_personal_store", """
+SELECT session_date, CASE WHEN day(session_date) < 8 THEN 2 ELSE 1 END AS revision, 'UNPROVEN_PERSONAL' AS session_proof, CASE WHEN day(session_date) < 8 THEN 'beta' ELSE 'alpha' END AS source_id,
+ instrument_id AS symbol, CAST(close AS VARCHAR) AS close, volume FROM {{bars_weekly}} WHERE month(session_date) <> 12 OR day(session_date) < 8""")
 def _src2(spark, sf):
-    """Writes one capture file per week and revision under its year, then reads the store."""
+    """Writes capture files as the store names them, sessions of a month's first week twice, late December ones under a wrong year, then reads the store."""
     rows = table(spark, sf, "bars_weekly")
     s = lambda c: F.col(c).cast("string")
     item = F.struct(F.col("instrument_id").alias("symbol"), "instrument_id", s("open").alias("open"), s("high").alias("high"), s("low").alias("low"), s("close").alias("close"), s("close").alias("adjusted_close"), "volume",
                     F.sha2("instrument_id", 256).alias("content_sha256"), F.lit("a").alias("artifact_sha256"), s("session_date").alias("fetched_at"), F.lit("UNPROVEN_PERSONAL").alias("quality_status"))
     docs = rows.groupBy("session_date").agg(F.collect_list(item).alias("rows"))  # one panel of instruments per session
-    body = docs.select("session_date", F.to_json(F.struct(F.lit(1).alias("schema_version"), s("session_date").alias("session_date"), F.concat(s("session_date"), F.lit("T13:00:00Z")).alias("captured_at"), F.lit("UNPROVEN_PERSONAL").alias("session_proof"), F.lit("alpha").alias("source_id"), "rows")).alias("value"))
+    both = docs.withColumn("revision", F.explode(F.when(F.dayofmonth("session_date") < 8, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    source = F.when(F.col("revision") == 2, "beta").otherwise("alpha")
+    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), s("session_date").alias("session_date"), F.concat(s("session_date"), F.lit("T13:00:00Z")).alias("captured_at"), F.lit("UNPROVEN_PERSONAL").alias("session_proof"), source.alias("source_id"), "rows"))
+    lost = (F.month("session_date") == 12) & (F.dayofmonth("session_date") > 7)
+    folder = F.when(lost, "1000").otherwise(F.year("session_date").cast("string"))
+    name = F.concat(folder, F.lit("/"), s("session_date"), F.when(F.col("revision") == 2, ".r2").otherwise(""), F.lit(".json"))
     root = fs.workspace(spark)
-    named = body.select("value", F.year("session_date").alias("year"), s("session_date").alias("day"))
-    # The store names files by session; Spark names its own part files, so the copy is by partition folders.
-    named.repartition("day").write.partitionBy("year", "day").text(f"{root}/store")
-    raw = spark.read.schema(fs.CAPTURE).option("recursiveFileLookup", "true").json(f"{root}/store")
-    return raw.select(F.to_date("session_date").alias("session_date"), "session_proof", F.explode("rows").alias("r")).select("session_date", "session_proof", "r.symbol", "r.close", "r.volume")
+    fs.write_documents(both.select(name.alias("name"), body.alias("body")), root).count()
+    return fs.read_personal_store(spark, root)[0].select("session_date", "revision", "session_proof", "source_id", "symbol", "close", "volume")
 
 
 @query("src3_select_sessions", "SELECT instrument_id, session_date, volume FROM {{bars_sparse}} WHERE session_date IN (SELECT DISTINCT session_date FROM {{bars_sparse}} ORDER BY 1 DESC LIMIT 7)")
@@ -138,12 +143,19 @@ def _src10(spark, sf):
     return fs.check_holidays(h.unionByName(h.where("month(holiday_date) = 3")).unionByName(w), 1998)
 
 
-@query("src11_inventory_artifacts")
+@query("src11_inventory_artifacts", """
+WITH b AS (SELECT DISTINCT p_brand AS brand FROM {{part}})
+SELECT sha256(concat('raw ', brand)) AS sha256, CASE WHEN brand LIKE '%3' THEN 'UNLISTED' WHEN brand LIKE '%5' THEN 'LENGTH_MISMATCH' ELSE 'VERIFIED' END AS state FROM b
+UNION ALL SELECT sha256(concat('gone ', brand)), 'MISSING' FROM b WHERE brand LIKE '%1'""")
 def _src11(spark, sf):
+    """Raw files against a manifest that leaves some out, names some that are gone and has some lengths wrong."""
+    brands = table(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct()
+    raw = lambda kind: F.concat(F.lit(f"{kind} "), F.col("brand"))
     root = fs.workspace(spark)
-    table(spark, sf, "bars_weekly").select(F.to_json(F.struct("*")).alias("value"), "instrument_id").repartition("instrument_id").write.partitionBy("instrument_id").text(f"{root}/raw")
-    inv = fs.inventory_artifacts(spark, f"{root}/raw")
-    return fs.verify_artifacts(inv, inv.select("sha256", "byte_length"))
+    fs.write_documents(brands.select(F.concat(F.regexp_replace("brand", "[^A-Za-z0-9]", "_"), F.lit(".raw")).alias("name"), raw("raw").alias("body")), root).count()
+    listed = brands.where("brand NOT LIKE '%3'").select(F.sha2(raw("raw"), 256).alias("sha256"), (F.length(raw("raw")) + F.col("brand").endswith("5").cast("int")).cast("long").alias("byte_length"))
+    gone = brands.where("brand LIKE '%1'").select(F.sha2(raw("gone"), 256).alias("sha256"), F.length(raw("gone")).cast("long").alias("byte_length"))
+    return fs.verify_artifacts(fs.inventory_artifacts(spark, root), listed.unionByName(gone))
 
 
 TEXT["csv_rows"] = """
@@ -225,7 +237,12 @@ def _ag15(spark, sf):
     return fs.quota_preflight(p)
 
 
-@query("ag17_ingest_summary")
+@query("ag17_ingest_summary", APPEND_FOLD + """,
+ d AS (SELECT instrument_id AS run_id, count(*) AS accepted, count(*) FILTER (disposition = 'INSERTED') AS additions, count(*) FILTER (disposition = 'REVISION_APPENDED') AS corrections,
+   count(*) FILTER (disposition = 'STALE_EVIDENCE_IGNORED') AS stale_ignored, count(*) FILTER (disposition = 'DUPLICATE_IGNORED') AS duplicates FROM fold WHERE arrival >= 0 GROUP BY 1),
+ v AS (SELECT instrument_id AS run_id, count(*) AS expected, count(*) FILTER (quality = 'VALID') AS accounted, count(*) FILTER (quality <> 'VALID') AS unavailable FROM {{revisions}} GROUP BY 1)
+SELECT v.run_id, expected, accounted, unavailable, coalesce(accepted, 0) AS accepted, coalesce(additions, 0) AS additions, coalesce(corrections, 0) AS corrections, coalesce(stale_ignored, 0) AS stale_ignored, coalesce(duplicates, 0) AS duplicates,
+ CASE WHEN accounted = expected AND coalesce(stale_ignored, 0) = 0 THEN 'SUCCEEDED' ELSE 'DEGRADED' END AS status FROM v LEFT JOIN d ON d.run_id = v.run_id""")
 def _ag17(spark, sf):
     """Accounting of one ingest run per supplier over the append dispositions and the day verdicts."""
     r = table(spark, sf, "revisions")

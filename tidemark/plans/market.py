@@ -15,7 +15,7 @@ VISIBLE = """known_at <= TIMESTAMP '2000-06-30 12:00:00' AND fetched_at <= TIMES
 BAR = ("instrument_id", "session_date", "revision_number", "known_at", "content_hash", "close", "volume")
 
 
-@query("pit1_append_revisions", """
+APPEND_FOLD = """
 WITH RECURSIVE rows AS (
   SELECT instrument_id, session_date, CAST(-1 AS BIGINT) AS arrival, arg_max(content_hash, revision_number) AS content_hash,
          arg_max(fetched_at, revision_number) AS fetched_at, arg_max(known_at, revision_number) AS known_at, max(revision_number) AS stored
@@ -37,7 +37,10 @@ WITH RECURSIVE rows AS (
          CASE WHEN s.content_hash <> f.h AND s.fetched_at >= f.f AND s.known_at >= f.k THEN f.n + 1 ELSE f.n END,
          CASE WHEN s.content_hash = f.h THEN 'DUPLICATE_IGNORED' WHEN s.fetched_at < f.f THEN 'STALE_EVIDENCE_IGNORED'
               WHEN s.known_at < f.k THEN 'KNOWLEDGE_REGRESSED' ELSE 'REVISION_APPENDED' END
-  FROM fold f JOIN seqd s ON s.instrument_id = f.instrument_id AND s.session_date = f.session_date AND s.rn = f.rn + 1)
+  FROM fold f JOIN seqd s ON s.instrument_id = f.instrument_id AND s.session_date = f.session_date AND s.rn = f.rn + 1)"""
+
+
+@query("pit1_append_revisions", APPEND_FOLD + """
 SELECT instrument_id, session_date, arrival, disposition,
        CASE WHEN disposition IN ('INSERTED', 'REVISION_APPENDED') THEN n END AS new_revision_number FROM fold WHERE arrival >= 0""")
 def _pit1(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import set_digest
-from tidemark.functions.scalar import first_reason, independent_reference, normalize_symbol, uuid_from_text
+from tidemark.functions.scalar import first_reason, independent_reference, uuid_from_text
 from tidemark.operators.calendar import weekend
 from tidemark.operators.pit import resolve_instruments
 from tidemark.session import shared_folder
@@ -29,6 +29,26 @@ def workspace(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def write_documents(documents: DataFrame, root: str) -> DataFrame:
+    """Writes each (name, body) as a file of that name under ``root``, and returns the names once the rows are read.
+
+    A task that runs again writes the same bytes under the same name.
+    """
+
+    def write(batches):
+        from pyarrow import RecordBatch, fs
+
+        files, top = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{top}/{name}", compression=None) as out:
+                    out.write(body.encode())
+            yield RecordBatch.from_arrays([batch.column(0)], names=["name"])
+
+    return documents.select("name", "body").mapInArrow(write, "name string")
+
+
 def parse_provider_payloads(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars and rejects from JSON row arrays. ``responses``: response_id, payload, from_date, to_date.
 
@@ -262,10 +282,6 @@ def experiment_records(responses: DataFrame) -> DataFrame:
                     F.coalesce(base, F.when(~F.coalesce(valid, F.lit(False)), F.lit("MALFORMED_OR_UNEXPECTED_EOD"))).alias("classification"), F.when(valid, F.col("close")).alias("close"), F.when(valid, F.col("volume")).alias("volume"))
 
 
-def symbol_verdict(symbols: DataFrame) -> DataFrame:
-    return symbols.withColumn("normalized", normalize_symbol("symbol"))
-
-
 def operations_summary(requests: DataFrame, runs: DataFrame, required: int) -> DataFrame:
     """Fetch outcomes and units per run, and completed sessions against the required number."""
     per_run = requests.groupBy("run_id").agg(F.count_if(F.col("outcome") == "OK").alias("ok"), F.count_if(F.col("outcome") != "OK").alias("failed"), F.sum("units").alias("units"))
