@@ -142,14 +142,6 @@ def independent_reference(reference, provider: str = PROVIDER_HOST) -> Column:
     )
 
 
-def exact_decimal(text) -> Column:
-    """Text that is a plain decimal a 96-bit decimal holds exactly, as double; otherwise null.
-
-    At most 28 fraction digits and an integer significand up to 2**96 - 1.
-    """
-    return F.when(decimal_state(text) == "OK", _c(text).try_cast("double"))
-
-
 def _significant(text) -> Column:
     t = _c(text)
     return F.struct(
@@ -168,12 +160,20 @@ def decimal_state(text) -> Column:
     fits = (F.length(fraction) <= 28) & (
         (F.length(digits) < len(limit)) | ((F.length(digits) == len(limit)) & (digits <= limit))
     )
-    return F.when(t.isNull() | ~shape, F.lit("CANONICAL_INVALID")).when(~fits, F.lit("NUMERIC_OUT_OF_RANGE")).otherwise(F.lit("OK"))
+    # A text of 28 characters has at most 28 digits, which always fit.
+    return F.when(t.isNull() | ~shape, F.lit("CANONICAL_INVALID")).when(F.length(t) <= 28, F.lit("OK")).when(~fits, F.lit("NUMERIC_OUT_OF_RANGE")).otherwise(F.lit("OK"))
 
 
 def is_sha256(value) -> Column:
     return F.coalesce(_c(value).rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
-def join_reasons(reasons: Column, sep: str = ",") -> Column:
-    return F.array_join(reasons, sep)
+def unique_keys(body) -> Column:
+    """Whether a text is JSON in which no object names a key twice."""
+    return F.try_parse_json(_c(body)).isNotNull()
+
+
+def closed_object(body, keys: tuple[str, ...]) -> Column:
+    """Whether a text is a JSON object without repeated keys whose own keys are all among ``keys``."""
+    known = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+    return unique_keys(body) & F.coalesce(F.size(F.array_except(F.json_object_keys(_c(body)), known)) == 0, F.lit(False))

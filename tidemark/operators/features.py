@@ -206,11 +206,6 @@ def volatility(atr_percent: Column) -> Column:
     return first_reason((atr_percent.isNull(), "UNKNOWN"), (atr_percent >= 2, "ELEVATED"), otherwise="NORMAL")
 
 
-def feature_map(panel: DataFrame) -> Column:
-    """The panel's state columns as one map keyed by feature name."""
-    return F.create_map(*[part for name in MINIMUM_SESSIONS for part in (F.lit(name), F.col(name))])
-
-
 def clearance_history(days: DataFrame) -> DataFrame:
     """Per-day price clearance: a closed day is bridged unless it breaks; a known break or an
     unresolved day clears the run. ``days`` has instrument_id, session_date, closed, broken, cleared."""

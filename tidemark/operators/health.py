@@ -90,12 +90,3 @@ def session_delta(bars: DataFrame, since=None) -> DataFrame:
         F.when(has_old & ~has_new, F.lit("PREVIOUS_ONLY")).when(has_new & ~has_old, F.lit("NEW_ONLY")).alias("present_in"),
     )
     return out
-
-
-def new_sessions(bars: DataFrame, since=None) -> DataFrame:
-    """Sessions after ``since``; without it, after the session before the newest."""
-    sessions = bars.select("session_date").distinct()
-    if since is not None:
-        return sessions.where(F.col("session_date") > F.lit(since).cast("date"))
-    return sessions.orderBy(F.desc("session_date")).limit(2).agg(
-        F.max("session_date").alias("session_date"), F.count("*").alias("n")).where("n = 2").select("session_date")

@@ -78,9 +78,7 @@ def _fn12(spark, sf):
     d = F.col("disc")
     body = F.when(d == 1, '{"a":1,"z":2}').when(d == 2, '{"a":1,"a":2}').when(d == 3, "{oops").otherwise('{"a":1,"b":{"c":2}}')
     x = table(spark, sf, "trades").select("seq", body.alias("body"))
-    ok = F.try_parse_json("body").isNotNull()
-    closed = ok & F.coalesce(F.size(F.array_except(F.json_object_keys("body"), F.array(F.lit("a"), F.lit("b")))) == 0, F.lit(False))
-    return x.select("seq", closed.alias("closed"), ok.alias("unique_keys"))
+    return x.select("seq", sf_.closed_object("body", ("a", "b")).alias("closed"), sf_.unique_keys("body").alias("unique_keys"))
 
 
 @query("fn15_personal_row_digest", """SELECT instrument_id, session_date, sha256(strftime(session_date, '%Y-%m-%d') || '|' || upper(instrument_id) || '|' || open || '|' || high || '|' || low || '|' || close || '||' || volume) AS digest FROM {{bars_sparse}}""")
