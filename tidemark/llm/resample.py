@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import is_under, text_bytes, written
 
@@ -172,9 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
 
 
 def importance(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, content, n_features, log_ratio) of every row."""
+    """``docs`` with n_features, log_ratio and content (a hash of the text) added; columns of these names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    added = ("content", "n_features", "log_ratio")
+    kept = docs.select(*[c for c in docs.columns if c not in added])
+    names = kept.columns
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -193,11 +196,11 @@ def importance(docs: DataFrame, model) -> DataFrame:
             texts = text_bytes(batch)
             found = [(len(f), ratio(f)) for f, _ in _features(texts, numbers)]
             content = [xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(content, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "content", "n_features", "log_ratio"]
-            )
+            made = [pa.array(content, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *made], names=[*names, *added])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, content long, n_features long, log_ratio double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("content", T.LongType()), T.StructField("n_features", T.LongType()), T.StructField("log_ratio", T.DoubleType())])
+    return kept.mapInArrow(run, schema)
 
 
 def gumbel(*columns: Column) -> Column:
@@ -224,6 +227,21 @@ def kth_greatest(rows: DataFrame, column: str, k: int, bins: int = 4096, few: in
         low, high = edges
 
 
+def _key(temperature: float) -> Column:
+    return F.col("log_ratio") / temperature + gumbel(F.col("doc_id"), F.col("content"))
+
+
+def _draw(docs: DataFrame, labels: DataFrame, rows: int, temperature: float):
+    """The model, the keys of all documents, and the least key that is drawn."""
+    model = fit(docs, labels, rows)
+    keyed = importance(docs.select("doc_id", "text"), model).drop("text")
+    keyed = written(keyed.withColumn("score", F.exp(F.col("log_ratio") / temperature)).withColumn("key", _key(temperature)), "importance")
+    drawn, every = keyed.agg(F.sum("score"), F.count(F.lit(1))).first()
+    k = round(drawn or 0.0)
+    least = -math.inf if k >= every else math.inf if k == 0 else kth_greatest(keyed, "key", k)
+    return model, keyed, least
+
+
 def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
     """The documents drawn: doc_id, content, n_features, log_ratio, score (importance, 0 to 1) and key.
 
@@ -232,16 +250,15 @@ def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperatu
     rows get equal keys, and ties at the last key are all kept. A null doc_id is a value like others and never a target.
     Without labels, or with none that are good, nothing is avoided and all documents stay. An empty table stays empty.
     """
-    scored = importance(docs, fit(docs, labels, rows))
-    keyed = written(scored.withColumn("score", F.exp(F.col("log_ratio") / temperature)).withColumn("key", F.col("log_ratio") / temperature + gumbel("doc_id", "content")), "importance")
-    drawn, every = keyed.agg(F.sum("score"), F.count(F.lit(1))).first()
-    k = round(drawn or 0.0)
-    if k >= every or k == 0:
-        return keyed if k else keyed.where(F.lit(False))
-    return keyed.where(F.col("key") >= kth_greatest(keyed, "key", k))
+    _, keyed, least = _draw(docs, labels, rows, temperature)
+    return keyed.where(F.col("key") >= least)
 
 
-def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is drawn, with their columns."""
-    ids = written(resample(docs, labels).select(F.col("doc_id").alias("__id")).dropDuplicates(), "drawn")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def resampled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with their columns (but content, n_features and log_ratio, if there are any).
+
+    The rows are scored once more as they are read, so that no text is shuffled to meet its key.
+    """
+    model, _, least = _draw(docs, labels, rows, temperature)
+    scored = importance(docs, model)
+    return scored.where(_key(temperature) >= least).drop("content", "n_features", "log_ratio")
