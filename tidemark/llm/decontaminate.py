@@ -45,7 +45,7 @@ WINDOW_SCHEMA = "content long, pos int, window long, slots array<string>"
 
 
 class _Words(dict):
-    """(kind, code, value, closes a sentence) of a word as it stands in a text."""
+    """Numbers of words as they stand in texts; what is known of a word is in arrays by its number."""
 
     def __init__(self):
         import re
@@ -53,18 +53,29 @@ class _Words(dict):
         self.edge = re.compile(r"^[\W_]+|[\W_]+$")
         self.number = re.compile(r"^\d[\d.,:/]*(?:st|nd|rd|th|[a-z]{1,3})?$")
         self.units, self.numbers = frozenset(UNITS), frozenset(NUMBER_WORDS)
+        self.clear()
 
-    def __missing__(self, raw: bytes):
+    def clear(self) -> None:
+        import numpy as np
+
+        super().clear()
+        self.kind, self.code, self.closes = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=bool)
+        self.value: list[str] = []
+
+    def __missing__(self, raw: bytes) -> int:
+        import numpy as np
         import xxhash
 
         text = raw.decode("utf-8", "replace")
-        core = self.edge.sub("", text)
+        # Most words are plain letters; only others need the patterns.
+        core, tail = text, ""
+        if not text.isalnum():
+            core = self.edge.sub("", text)
+            tail = text[len(text.rstrip("\"')]}*#$%&!?.")) :]
         value = core.lower()
-        tail = text[len(text.rstrip("\"')]}*#$%&!?.")) :]
-        closes = any(c in tail for c in ".!?")
         if not core:
             kind = NONE
-        elif self.number.match(value) or value in self.numbers:
+        elif value in self.numbers or "0" <= value[0] <= "9" and self.number.match(value):
             kind = NUMBER
         elif value in self.units:
             kind = UNIT
@@ -72,41 +83,51 @@ class _Words(dict):
             kind = CAPITAL
         else:
             kind = WORD
-        code = xxhash.xxh3_64_intdigest(value.encode()) >> 1
-        self[raw] = found = (kind, code | 8, value, closes)
-        return found
+        self[raw] = place = len(self.value)
+        if place == len(self.kind):
+            self.kind, self.code, self.closes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.code, self.closes))
+        self.kind[place], self.code[place] = kind, xxhash.xxh3_64_intdigest(value.encode()) >> 1 | 8
+        self.closes[place] = raw == LINE or tail != "" and ("." in tail or "!" in tail or "?" in tail)
+        self.value.append(value)
+        return place
+
+
+#: Stands for the end of a line among the words.
+LINE = b"\x00"
 
 
 def canonical(text: bytes | None, words: _Words):
-    """Codes, slot kinds (WORD where there is none), values and codes without placeholders of a text's canonical words."""
+    """Codes, slot kinds (WORD where there is none), numbers of words and codes without placeholders of a text's canonical words."""
     import numpy as np
 
     if len(words) > KEPT_WORDS:
         words.clear()
-    lines = text.split(b"\n") if text else ()
-    found, fresh = [], []
-    for line in lines:
-        here = list(map(words.__getitem__, line.split()))
-        found += here
-        fresh += [True] + [False] * (len(here) - 1) if here else []
-    if not found:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], np.zeros(0, dtype=np.uint64)
-    kinds, codes, values, closes = zip(*found, strict=True)
-    kind, code = np.array(kinds), np.array(codes, dtype=np.uint64)
-    starts = np.array(fresh)
-    starts[1:] |= np.array(closes)[:-1]
+    found = (text or b"").replace(b"\n", b" \x00 ").split()
+    ids = np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found))
+    kind, code = words.kind[ids], words.code[ids]
+    starts = np.ones(len(ids), dtype=bool)
+    starts[1:] = words.closes[ids][:-1]
+    # Marks and empty lines between words hand on the start of a sentence.
     keep = kind != NONE
-    # A capital at the start of a sentence is a name only if the word has one inside a sentence too.
-    first = (kind == CAPITAL) & starts
-    kind[first & ~np.isin(code, code[(kind == CAPITAL) & ~starts])] = WORD
-    kind, code, kept = kind[keep], code[keep], np.flatnonzero(keep)
-    after_number = np.zeros(len(kind), dtype=bool)
-    after_number[1:] = kind[:-1] == NUMBER
-    kind[(kind == UNIT) & ~after_number] = WORD
-    plain = code.copy()
-    for k, placeholder in SLOT_CODES.items():
-        code[kind == k] = placeholder
-    return code, kind, [values[i] for i in kept], plain
+    if not keep.all():
+        group = np.cumsum(keep)
+        opened = np.zeros(len(ids) + 1, dtype=bool)
+        np.logical_or.at(opened, np.where(keep, group - 1, group), starts)
+        kind, code, ids = kind[keep], code[keep], ids[keep]
+        starts = opened[: len(ids)]
+    capital = kind == CAPITAL
+    if capital.any():
+        # A capital at the start of a sentence is a name only if the word has one inside a sentence too.
+        first, inner = capital & starts, capital & ~starts
+        kind[first & ~np.isin(code, code[inner])] = WORD
+    unit = np.flatnonzero(kind == UNIT)
+    kind[unit[(unit == 0) | (kind[unit - 1] != NUMBER)]] = WORD
+    plain = code
+    if kind.any():
+        plain = code.copy()
+        for k, placeholder in SLOT_CODES.items():
+            code[kind == k] = placeholder
+    return code, kind, ids, plain
 
 
 def windows(code, kind, size: int, first=None):
@@ -118,8 +139,10 @@ def windows(code, kind, size: int, first=None):
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-    at = np.flatnonzero(2 * (plain[size:] - plain[:-size]) >= size)
+    at = np.arange(n)
+    if kind.any():
+        plain = np.concatenate([[0], np.cumsum(kind == WORD)])
+        at = np.flatnonzero(2 * (plain[size:] - plain[:-size]) >= size)
     with np.errstate(over="ignore"):
         mixed = np.full(n, size, dtype=np.uint64)
         for i in range(size):
@@ -141,12 +164,12 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
         for batch in batches:
             out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "window", "item_slots")}
             for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                code, kind, values, _ = canonical(text, words)
+                code, kind, ids, _ = canonical(text, words)
                 if len(code) < LEAST_ITEM:
                     continue
                 width = min(size, len(code))
                 for pos, value in zip(*(x.tolist() for x in windows(code, kind, width)), strict=True):
-                    slots = [values[i] for i in range(pos, pos + width) if kind[i] != WORD]
+                    slots = [words.value[ids[i]] for i in range(pos, pos + width) if kind[i] != WORD]
                     for name, v in zip(out, (item, len(code), width, pos, value, slots), strict=True):
                         out[name].append(v)
             kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
@@ -166,10 +189,10 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
 
         words = _Words()
         for batch in batches:
-            ids, out = [], ([], [], [], [])
+            rows, out = [], ([], [], [], [])
             for row, text in enumerate(text_bytes(batch)):
-                code, kind, values, plain = canonical(text, words)
-                content = xxhash.xxh3_64_intdigest(text or b"") >> 1
+                code, kind, ids, plain = canonical(text, words)
+                content = None
                 for width in widths:
                     at, value = windows(code, kind, width)
                     # An item's first word has its capital at the start of a sentence; put into a sentence it looks like a name.
@@ -183,12 +206,14 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
                             known = held.value
                             hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value if len(known) else np.zeros(len(at), dtype=bool)
                             at, value = at[hit], value[hit]
+                        if len(at) and content is None:
+                            content = xxhash.xxh3_64_intdigest(text) >> 1
                         for pos, v in zip(at.tolist(), value.tolist(), strict=True):
-                            ids.append(row)
-                            for o, x in zip(out, (content, pos, v, [values[i] for i in range(pos + skip, pos + width) if kind[i] != WORD]), strict=True):
+                            rows.append(row)
+                            for o, x in zip(out, (content, pos, v, [words.value[ids[i]] for i in range(pos + skip, pos + width) if kind[i] != WORD]), strict=True):
                                 o.append(x)
             arrays = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *arrays], names=["doc_id", "content", "pos", "window", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc_id", "content", "pos", "window", "slots"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, {WINDOW_SCHEMA}")
 
