@@ -54,3 +54,21 @@ def test_odd_and_empty(spark, odd, none):
     assert contaminated(none, items).collect() == []
     assert contaminated(odd, items.limit(0)).collect() == []
     assert decontaminated(odd, items).count() == odd.count()
+
+
+def test_finds_plain_copies_whatever_their_capitals_and_slots(spark):
+    items = [
+        (1, "Der Hund und die Katze gehen mit der Frau von Berlin nach Hamburg in die Schule am Markt"),
+        (2, "Ann Lee, Bob Ray, Tom Fox, 12 34 56 78"),
+        (3, "x = 3 + 4 * 5 - 6"),
+        (4, "Quantum chromodynamics"),
+        (5, "The river that we saw in the morning was wide and cold"),
+    ]
+    docs = [
+        (10, "so " + items[0][1].lower() + " again"), (11, "so " + items[0][1].upper() + " again"), (20, "we met " + items[1][1] + " there"), (21, items[1][1].lower()), (30, "take " + items[2][1] + " now"),
+        (40, "about quantum chromodynamics again"), (41, "about quantum fields again"), (50, "of The Hague. " + items[4][1] + ". He said so"), (22, "we met Sue Kay, Jim Orr, Pat May, 99 88 77 66 there"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): r for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(rows) == {(10, 1), (11, 1), (20, 2), (21, 2), (30, 3), (40, 4), (50, 5)}
+    assert all(r["verbatim"] and r["coverage"] == 1.0 and r["consistency"] == 1.0 for r in rows.values())

@@ -3,7 +3,8 @@
 Words are canonical: lower case without marks around them, with numbers, units after numbers, and names (capitals inside
 a sentence) replaced by typed placeholders. Windows of canonical words of the items meet those of the documents in a hash
 join; hits on one diagonal are gathered, and a document's slots must fill an item's slots consistently: wherever the
-item repeats a value, the document does too.
+item repeats a value, the document does too. Beside the canonical words stand two other forms: without names, and as
+plain words in lower case, so that a verbatim item is found whatever its capitals and however many slots it has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tidemark.llm.common import is_under, text_bytes, written
 
 #: Canonical words of a window; items of fewer words have one window of all their words.
 SIZE = 8
-#: Items of fewer words are not searched for: so few words stand anywhere.
+#: Items of fewer words are searched for as plain words alone: a template of so few words stands anywhere.
 LEAST_ITEM = 4
 #: Item windows up to which tasks hold their hashes to pass on only windows that can join; beyond it all windows are passed on.
 HELD_WINDOWS = 2_000_000
@@ -130,31 +131,71 @@ def canonical(text: bytes | None, words: _Words):
     return code, kind, ids, plain
 
 
-def windows(code, kind, size: int, first=None):
-    """(positions, hashes) of windows of ``size`` words of which half at least are no placeholders; ``first``: codes of their first words."""
+def forms(code, kind, plain):
+    """(codes, kinds, lost) of each form of a text: canonical, without names, and plain; ``lost`` marks slots that stand as plain words."""
     import numpy as np
 
-    first = code if first is None else first
+    out = [(code, kind, None)]
+    slot = kind != WORD
+    if slot.any():
+        capital = kind == CAPITAL
+        if capital.any() and (slot & ~capital).any():
+            out.append((np.where(capital, plain, code), np.where(capital, WORD, kind), capital))
+        out.append((plain, np.zeros_like(kind), slot))
+    return out
 
+
+def _within(mask, size: int):
+    """How many of each window of ``size`` words are marked."""
+    import numpy as np
+
+    upto = np.concatenate([[0], np.cumsum(mask)])
+    return upto[size:] - upto[:-size]
+
+
+def windows(form, size: int, first=None):
+    """(positions, hashes) of a form's windows of ``size`` words of which half at least are no placeholders.
+
+    Windows without a lost slot are those of an earlier form and left out. With ``first`` (codes of first words) only
+    windows that start with a name are made.
+    """
+    import numpy as np
+
+    code, kind, lost = form
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.arange(n)
+    at = None
     if kind.any():
-        plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-        at = np.flatnonzero(2 * (plain[size:] - plain[:-size]) >= size)
+        slots = _within(kind != WORD, size)
+        able = 2 * slots <= size
+        if lost is not None:
+            able &= (_within(lost, size) > 0) & (slots > 0)
+        if first is not None:
+            able &= kind[:n] == CAPITAL
+        at = np.flatnonzero(able)
+    elif lost is not None:
+        at = np.flatnonzero(_within(lost, size) > 0)
+    some = at is not None and 3 * len(at) < n
     with np.errstate(over="ignore"):
-        mixed = np.full(n, size, dtype=np.uint64)
+        mixed = np.full(len(at) if some else n, size, dtype=np.uint64)
         for i in range(size):
-            mixed = (mixed ^ (code if i else first)[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+            source = first if i == 0 and first is not None else code
+            mixed = (mixed ^ (source[at + i] if some else source[i : n + i])) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-    return at, mixed.view(np.int64)[at]
+    hashes = mixed.view(np.int64)
+    if at is None:
+        return np.arange(n), hashes
+    return at, hashes if some else hashes[at]
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, item_words, width, item_pos, window, item_slots) of items of LEAST_ITEM words or more."""
+    """(item_id, item_words, width, item_pos, window, item_slots, kept_slots); kept_slots are the values of slots that stand as plain words.
+
+    Items under LEAST_ITEM words have their plain form alone.
+    """
     kind_of_id = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches) -> Iterator:
@@ -162,20 +203,24 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
         words = _Words()
         for batch in batches:
-            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "window", "item_slots")}
+            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "window", "item_slots", "kept_slots")}
             for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                code, kind, ids, _ = canonical(text, words)
-                if len(code) < LEAST_ITEM:
+                code, kind, ids, plain = canonical(text, words)
+                if not len(code):
                     continue
                 width = min(size, len(code))
-                for pos, value in zip(*(x.tolist() for x in windows(code, kind, width)), strict=True):
-                    slots = [words.value[ids[i]] for i in range(pos, pos + width) if kind[i] != WORD]
-                    for name, v in zip(out, (item, len(code), width, pos, value, slots), strict=True):
-                        out[name].append(v)
-            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                short = len(code) < LEAST_ITEM and kind.any()
+                for form in forms(code, kind, plain)[-1 if short else 0 :]:
+                    for pos, value in zip(*(x.tolist() for x in windows(form, width)), strict=True):
+                        slots = [words.value[ids[i]] for i in range(pos, pos + width) if form[1][i] != WORD]
+                        same = [words.value[ids[i]] for i in range(pos, pos + width) if form[1][i] == WORD != kind[i]]
+                        for name, v in zip(out, (item, len(code), width, pos, value, slots, same), strict=True):
+                            out[name].append(v)
+            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind_of_id}, item_words int, width int, item_pos int, window long, item_slots array<string>")
+    schema = f"item_id {kind_of_id}, item_words int, width int, item_pos int, window long, item_slots array<string>, kept_slots array<string>"
+    return benchmark.select("item_id", "text").mapInArrow(run, schema)
 
 
 def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
@@ -193,15 +238,13 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
             for row, text in enumerate(text_bytes(batch)):
                 code, kind, ids, plain = canonical(text, words)
                 content = None
+                every = forms(code, kind, plain)
+                # An item's first word has its capital at the start of a sentence; put into a sentence it looks like a name.
+                turns = [(form, None) for form in every] + ([(every[0], plain)] if (kind == CAPITAL).any() else [])
                 for width in widths:
-                    at, value = windows(code, kind, width)
-                    # An item's first word has its capital at the start of a sentence; put into a sentence it looks like a name.
-                    capital = at[kind[at] == CAPITAL]
-                    both = [(at, value, 0)]
-                    if len(capital):
-                        again, other = windows(code, kind, width, plain)
-                        both.append((capital, other[np.searchsorted(again, capital)], 1))
-                    for at, value, skip in both:
+                    for form, first in turns:
+                        at, value = windows(form, width, first)
+                        skip = 0 if first is None else 1
                         if held is not None and len(at):
                             known = held.value
                             hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value if len(known) else np.zeros(len(at), dtype=bool)
@@ -210,7 +253,7 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
                             content = xxhash.xxh3_64_intdigest(text) >> 1
                         for pos, v in zip(at.tolist(), value.tolist(), strict=True):
                             rows.append(row)
-                            for o, x in zip(out, (content, pos, v, [words.value[ids[i]] for i in range(pos + skip, pos + width) if kind[i] != WORD]), strict=True):
+                            for o, x in zip(out, (content, pos, v, [words.value[ids[i]] for i in range(pos + skip, pos + width) if form[1][i] != WORD]), strict=True):
                                 o.append(x)
             arrays = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc_id", "content", "pos", "window", "slots"])
@@ -238,8 +281,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = document_windows(docs, widths, held)
     met = items.hint("broadcast") if held is not None else items
     key = ["doc_id", "content", "item_id", "item_words", "diagonal"]
+    # Slots that stand as plain words on both sides keep their value.
+    pairs = F.concat(F.arrays_zip("item_slots", "slots"), F.transform("kept_slots", lambda v: F.struct(v.alias("item_slots"), v.alias("slots"))))
     hits = found.join(met, "window").where(F.size("slots") == F.size("item_slots")).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    hits = written(hits.select(*key, "width", "item_pos", F.arrays_zip("item_slots", "slots").alias("pairs")).dropDuplicates([*key, "width", "item_pos"]), "item-hits")
+    hits = written(hits.select(*key, "width", "item_pos", pairs.alias("pairs")).dropDuplicates(), "item-hits")
     order = Window.partitionBy(*key).orderBy("item_pos")
     upto = F.max(F.col("item_pos") + F.col("width")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("upto", upto).withColumn("fresh", F.when(F.col("item_pos") <= F.col("upto"), 0).otherwise(1))
