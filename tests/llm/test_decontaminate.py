@@ -72,3 +72,15 @@ def test_finds_plain_copies_whatever_their_capitals_and_slots(spark):
     rows = {(r["doc_id"], r["item_id"]): r for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(rows) == {(10, 1), (11, 1), (20, 2), (21, 2), (30, 3), (40, 4), (50, 5)}
     assert all(r["verbatim"] and r["coverage"] == 1.0 and r["consistency"] == 1.0 for r in rows.values())
+
+
+def test_finds_items_whose_slots_or_words_grew(spark):
+    item = "The old train to Paris leaves the small station at 5 and the driver of the train says that all people on the way to Paris must pay for the whole journey before it starts"
+    text = lambda city, hour: item.replace("Paris", city).replace("5", hour)
+    more = text("Rome", "7").replace("leaves", "very often leaves").replace("people", "the other tall people").replace("must pay", "must as ever pay")
+    docs = [(1, "so it goes. " + text("New York", "twenty five")), (2, "so it goes. " + more), (4, "we saw Bob. " + item + ". " + item)]
+    pairs = [(5, "here Tom Fox has 3 apples"), (6, item)]
+    rows = {(r["doc_id"], r["item_id"]): r for r in contaminated(spark.createDataFrame([*docs, (7, "so here Ann Lee Poe has 4 apples. here Bob has 9 apples.")], "doc_id long, text string"), spark.createDataFrame(pairs, "item_id long, text string")).collect()}
+    assert set(rows) == {(1, 6), (2, 6), (4, 6), (7, 5)}
+    assert rows[1, 6]["coverage"] == 1.0 and rows[1, 6]["consistency"] == 1.0 and not rows[1, 6]["verbatim"]
+    assert rows[2, 6]["coverage"] >= 0.5 and rows[4, 6]["verbatim"]

@@ -2,7 +2,7 @@
 
 Words are canonical: lower case without marks around them, with numbers, units after numbers, and names (capitals inside
 a sentence) replaced by typed placeholders. Windows of canonical words of the items meet those of the documents in a hash
-join; hits on one diagonal are gathered, and a document's slots must fill an item's slots consistently: wherever the
+join; hits on one diagonal and on diagonals a few words apart are gathered, and a document's slots must fill an item's slots consistently: wherever the
 item repeats a value, the document does too. Beside the canonical words stand two other forms: without names, and as
 plain words in lower case, so that a verbatim item is found whatever its capitals and however many slots it has.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ LEAST_ITEM = 4
 HELD_WINDOWS = 2_000_000
 #: A pair counts from this share of the item's words, or from this number of words side by side.
 COVERAGE, RUN = 0.5, 13
+#: Diagonals are gathered up to so many words apart, and up to this share of the item's words, so that two copies side by side stay two.
+NEAR, NEAR_SHARE = 8, 0.25
 #: Share of the item's slot values that must be filled with one value each.
 CONSISTENT = 0.9
 KEPT_WORDS = 400_000
@@ -98,7 +101,7 @@ LINE = b"\x00"
 
 
 def canonical(text: bytes | None, words: _Words):
-    """Codes, slot kinds (WORD where there is none), numbers of words and codes without placeholders of a text's canonical words."""
+    """Codes, slot kinds (WORD where there is none), numbers of words, codes without placeholders and starts of sentences of a text's canonical words."""
     import numpy as np
 
     if len(words) > KEPT_WORDS:
@@ -128,20 +131,45 @@ def canonical(text: bytes | None, words: _Words):
         plain = code.copy()
         for k, placeholder in SLOT_CODES.items():
             code[kind == k] = placeholder
-    return code, kind, ids, plain
+    return code, kind, ids, plain, starts
 
 
-def forms(code, kind, plain):
-    """(codes, kinds, lost) of each form of a text: canonical, without names, and plain; ``lost`` marks slots that stand as plain words."""
+class Form(NamedTuple):
+    """A form of a text: canonical, without names, or plain. Neighbouring slots of one kind are one slot."""
+
+    code: Any
+    kind: Any
+    #: Slots that stand as plain words, if there are any.
+    lost: Any
+    #: First words of the form's places, and the end of the last.
+    edge: Any
+
+    def filled(self, at: int, size: int, words: _Words, ids) -> list[str]:
+        """The values of the slots of a window."""
+        return [" ".join(words.value[x] for x in ids[self.edge[i] : self.edge[i + 1]]) for i in range(at, at + size) if self.kind[i] != WORD]
+
+
+def _merged(code, kind, lost, starts) -> Form:
     import numpy as np
 
-    out = [(code, kind, None)]
+    first = np.ones(len(code), dtype=bool)
+    first[1:] = (kind[1:] == WORD) | (kind[1:] != kind[:-1]) | starts[1:]
+    edge = np.append(np.flatnonzero(first), len(code))
+    if len(edge) > len(code):
+        return Form(code, kind, lost, edge)
+    return Form(code[first], kind[first], None if lost is None else lost[first], edge)
+
+
+def forms(code, kind, plain, starts) -> list[Form]:
+    import numpy as np
+
+    out = [_merged(code, kind, None, starts)]
     slot = kind != WORD
     if slot.any():
         capital = kind == CAPITAL
         if capital.any() and (slot & ~capital).any():
-            out.append((np.where(capital, plain, code), np.where(capital, WORD, kind), capital))
-        out.append((plain, np.zeros_like(kind), slot))
+            out.append(_merged(np.where(capital, plain, code), np.where(capital, WORD, kind), capital, starts))
+        out.append(_merged(plain, np.zeros_like(kind), slot, starts))
     return out
 
 
@@ -161,7 +189,7 @@ def windows(form, size: int, first=None):
     """
     import numpy as np
 
-    code, kind, lost = form
+    code, kind, lost, _ = form
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -192,7 +220,9 @@ def windows(form, size: int, first=None):
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, item_words, width, item_pos, window, item_slots, kept_slots); kept_slots are the values of slots that stand as plain words.
+    """(item_id, item_words, width, item_pos, item_end, window, item_slots, at_edge, kept_slots).
+
+    at_edge marks slots that begin or end the item; kept_slots are the values of slots that stand as plain words.
 
     Items under LEAST_ITEM words have their plain form alone.
     """
@@ -203,23 +233,25 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
         words = _Words()
         for batch in batches:
-            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "window", "item_slots", "kept_slots")}
+            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "item_end", "window", "item_slots", "at_edge", "kept_slots")}
             for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                code, kind, ids, plain = canonical(text, words)
+                code, kind, ids, plain, starts = canonical(text, words)
                 if not len(code):
                     continue
-                width = min(size, len(code))
                 short = len(code) < LEAST_ITEM and kind.any()
-                for form in forms(code, kind, plain)[-1 if short else 0 :]:
-                    for pos, value in zip(*(x.tolist() for x in windows(form, width)), strict=True):
-                        slots = [words.value[ids[i]] for i in range(pos, pos + width) if form[1][i] != WORD]
-                        same = [words.value[ids[i]] for i in range(pos, pos + width) if form[1][i] == WORD != kind[i]]
-                        for name, v in zip(out, (item, len(code), width, pos, value, slots, same), strict=True):
+                for form in forms(code, kind, plain, starts)[-1 if short else 0 :]:
+                    width, last = min(size, len(form.code)), len(form.code) - 1
+                    for at, value in zip(*(x.tolist() for x in windows(form, width)), strict=True):
+                        slots = form.filled(at, width, words, ids)
+                        edges = [i in (0, last) for i in range(at, at + width) if form.kind[i] != WORD]
+                        pos, end = int(form.edge[at]), int(form.edge[at + width])
+                        same = [words.value[ids[form.edge[i]]] for i in range(at, at + width) if form.kind[i] == WORD != kind[form.edge[i]]]
+                        for name, v in zip(out, (item, len(code), width, pos, end, value, slots, edges, same), strict=True):
                             out[name].append(v)
-            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            kinds = (batch.column(0).type, *[pa.int32()] * 4, pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    schema = f"item_id {kind_of_id}, item_words int, width int, item_pos int, window long, item_slots array<string>, kept_slots array<string>"
+    schema = f"item_id {kind_of_id}, item_words int, width int, item_pos int, item_end int, window long, item_slots array<string>, at_edge array<boolean>, kept_slots array<string>"
     return benchmark.select("item_id", "text").mapInArrow(run, schema)
 
 
@@ -236,11 +268,11 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for row, text in enumerate(text_bytes(batch)):
-                code, kind, ids, plain = canonical(text, words)
+                code, kind, ids, plain, starts = canonical(text, words)
                 content = None
-                every = forms(code, kind, plain)
+                every = forms(code, kind, plain, starts)
                 # An item's first word has its capital at the start of a sentence; put into a sentence it looks like a name.
-                turns = [(form, None) for form in every] + ([(every[0], plain)] if (kind == CAPITAL).any() else [])
+                turns = [(form, None) for form in every] + ([(every[0], plain[every[0].edge[1:] - 1])] if (kind == CAPITAL).any() else [])
                 for width in widths:
                     for form, first in turns:
                         at, value = windows(form, width, first)
@@ -251,9 +283,10 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
                             at, value = at[hit], value[hit]
                         if len(at) and content is None:
                             content = xxhash.xxh3_64_intdigest(text) >> 1
-                        for pos, v in zip(at.tolist(), value.tolist(), strict=True):
+                        for place, v in zip(at.tolist(), value.tolist(), strict=True):
                             rows.append(row)
-                            for o, x in zip(out, (content, pos, v, [words.value[ids[i]] for i in range(pos + skip, pos + width) if form[1][i] != WORD]), strict=True):
+                            pos = int(form.edge[place + 1]) - 1 if skip else int(form.edge[place])
+                            for o, x in zip(out, (content, pos, v, form.filled(place + skip, width - skip, words, ids)), strict=True):
                                 o.append(x)
             arrays = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc_id", "content", "pos", "window", "slots"])
@@ -264,7 +297,7 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, item_id, item_words, covered, longest, coverage, consistency, verbatim): the pairs that count.
 
-    A pair counts if hits on one diagonal cover ``coverage`` of the item's words or ``run`` words side by side, and
+    A pair counts if hits on one diagonal, or on diagonals a few words apart, cover ``coverage`` of the item's words or ``run`` words side by side, and
     ``consistent`` of the item's slot values are filled with one value each. verbatim says that all slots keep their values.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are not read. Null and empty texts have
@@ -280,16 +313,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], dtype=np.int64)))
     found = document_windows(docs, widths, held)
     met = items.hint("broadcast") if held is not None else items
-    key = ["doc_id", "content", "item_id", "item_words", "diagonal"]
-    # Slots that stand as plain words on both sides keep their value.
-    pairs = F.concat(F.arrays_zip("item_slots", "slots"), F.transform("kept_slots", lambda v: F.struct(v.alias("item_slots"), v.alias("slots"))))
+    pair = ["doc_id", "content", "item_id", "item_words"]
+    # Slots that stand as plain words on both sides keep their value. A name beside the item runs into the slot at its edge, which then says nothing.
+    size_of = lambda v: F.size(F.split(v, " "))
+    zipped = F.filter(F.arrays_zip("item_slots", "slots", "at_edge"), lambda p: ~p["at_edge"] | (size_of(p["item_slots"]) == size_of(p["slots"])))
+    as_pair = lambda a, b: F.struct(a.alias("item_slots"), b.alias("slots"))
+    pairs = F.concat(F.transform(zipped, lambda p: as_pair(p["item_slots"], p["slots"])), F.transform("kept_slots", lambda v: as_pair(v, v)))
     hits = found.join(met, "window").where(F.size("slots") == F.size("item_slots")).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    hits = written(hits.select(*key, "width", "item_pos", pairs.alias("pairs")).dropDuplicates(), "item-hits")
+    hits = written(hits.select(*pair, "diagonal", "item_pos", "item_end", pairs.alias("pairs")).dropDuplicates(), "item-hits")
+    # Diagonals near each other are judged together, and each on its own too.
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.least(F.lit(NEAR), F.floor(F.col("item_words") * NEAR_SHARE))
+    near = hits.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    near = near.withColumn("cluster", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*pair, "cluster")
+    several = F.min("diagonal").over(within) != F.max("diagonal").over(within)
+    alone = F.struct(F.lit(0).alias("way"), F.col("diagonal").cast("long").alias("number"))
+    together = F.struct(F.lit(1).alias("way"), F.col("cluster").alias("number"))
+    hits = near.withColumn("several", several).withColumn("group", F.explode(F.when(F.col("several"), F.array(alone, together)).otherwise(F.array(alone))))
+    key = [*pair, "group"]
     order = Window.partitionBy(*key).orderBy("item_pos")
-    upto = F.max(F.col("item_pos") + F.col("width")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.max("item_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("upto", upto).withColumn("fresh", F.when(F.col("item_pos") <= F.col("upto"), 0).otherwise(1))
     runs = runs.withColumn("stretch", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = runs.groupBy(*key, "stretch").agg((F.max(F.col("item_pos") + F.col("width")) - F.min("item_pos")).alias("words"))
+    stretches = runs.groupBy(*key, "stretch").agg((F.max("item_end") - F.min("item_pos")).alias("words"))
     covered = stretches.groupBy(*key).agg(F.sum("words").alias("covered"), F.max("words").alias("longest"))
     filled = hits.select(*key, F.explode("pairs").alias("p")).groupBy(*key, F.col("p.item_slots").alias("value")).agg(F.count_distinct("p.slots").alias("fills"), F.max(F.when(F.col("p.slots") != F.col("p.item_slots"), 1).otherwise(0)).alias("changed"))
     slots = filled.groupBy(*key).agg(F.avg(F.when(F.col("fills") == 1, 1.0).otherwise(0.0)).alias("consistency"), F.max("changed").alias("changed"))
