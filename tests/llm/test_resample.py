@@ -45,3 +45,35 @@ def test_odd_and_empty(spark, odd, none):
     assert rs.resample(odd, labels).count() == odd.count()
     assert rs.resample(none, labels).collect() == []
     assert rs.resampled(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_finds_each_feature_that_fails_alone_in_whatever_bucket(spark):
+    import numpy as np
+
+    # A bad word shares its bucket with a word that stands in all texts.
+    seen, pair = {}, None
+    for i in range(200_000):
+        word = f"w{i}".encode()
+        bucket = int(next(rs._features([word], rs._Numbers()))[1][0])
+        if bucket in seen:
+            pair = seen[bucket].decode(), word.decode()
+            break
+        seen[bucket] = word
+    common, bad = pair
+    rows = [(i, f"{common} t{i % 7}" + (f" {bad}" if i % 8 == 1 else "")) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 800, 2)], "doc_id long, quality int, toxic int")
+    model = rs.fit(docs, labels)
+    feature = next(rs._features([bad.encode()], rs._Numbers()))[0][0]
+    assert feature in model[0]
+    # All features, counted and tested plainly.
+    good = set(range(0, 800, 2))
+    counts = {}
+    for (i, _), (found, _) in zip(rows, rs._features([t.encode() for _, t in rows], rs._Numbers()), strict=True):
+        for f in found.tolist():
+            raw, mine = counts.get(f, (0, 0))
+            counts[f] = (raw + 1, mine + (i in good))
+    tested = {f: c for f, c in counts.items() if c[0] * 0.5 >= rs.EXPECTED}
+    failed = rs._unlikely(np.array([c[1] for c in tested.values()]), np.array([c[0] for c in tested.values()]), 0.5, rs.ERROR / len(tested))
+    low = [np.log((c[1] + rs.ADDED) / (c[0] * 0.5 + rs.ADDED)) <= rs.LEAST_LOG for c in tested.values()]
+    assert model[0].tolist() == sorted(f for f, a, b in zip(tested, failed, low, strict=True) if a and b)

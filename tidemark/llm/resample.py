@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import is_under, text_bytes, written
 
-#: Buckets of words and runs of marks, and of pairs of them.
+#: Buckets of words and runs of marks, and of pairs of them, for counts of a part of the features.
 WORDS, PAIRS = 1 << 18, 1 << 17
 #: Labelled documents at most from which the target model is learned: those with the least hash of their id.
 FIT_ROWS = 50_000
@@ -70,32 +70,8 @@ def target_ids(labels: DataFrame, rows: int = FIT_ROWS) -> list:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
 
 
-def bucket_counts(docs: DataFrame, target: list) -> DataFrame:
-    """(bucket, raw, target): documents with a feature of the bucket, and those of the target sample. Bucket -1 counts documents."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(target))
-
-    def count(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        numbers, good = _Numbers(), held.value
-        raw, mine = np.zeros(WORDS + PAIRS, dtype=np.int64), np.zeros(WORDS + PAIRS, dtype=np.int64)
-        total = [0, 0]
-        for batch in batches:
-            for doc_id, (_, buckets) in zip(batch.column(0).to_pylist(), _features(text_bytes(batch), numbers), strict=True):
-                raw[buckets] += 1
-                total[0] += 1
-                if doc_id in good:
-                    mine[buckets] += 1
-                    total[1] += 1
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(raw[used], total[0])), pa.array(np.append(mine[used], total[1]))], names=["bucket", "raw", "target"])
-
-    return docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-
-
-def feature_counts(docs: DataFrame, target: list, buckets) -> DataFrame:
-    """(feature, raw, target) of the features that fall into some of the buckets, told apart."""
+def feature_counts(docs: DataFrame, target: list, buckets=None) -> DataFrame:
+    """(feature, raw, target): documents with a feature, and those of the target sample; of all features, or of those that fall into some buckets."""
     held = docs.sparkSession.sparkContext.broadcast((frozenset(target), buckets))
 
     def count(batches) -> Iterator:
@@ -103,12 +79,13 @@ def feature_counts(docs: DataFrame, target: list, buckets) -> DataFrame:
         import pyarrow as pa
 
         numbers, (good, wanted) = _Numbers(), held.value
-        chosen = np.zeros(WORDS + PAIRS, dtype=bool)
-        chosen[wanted] = True
+        chosen = np.full(WORDS + PAIRS, wanted is None)
+        if wanted is not None:
+            chosen[wanted] = True
         for batch in batches:
             every, mine = [], []
             for doc_id, (features, found) in zip(batch.column(0).to_pylist(), _features(text_bytes(batch), numbers), strict=True):
-                every.append(features[chosen[found]])
+                every.append(features if wanted is None else features[chosen[found]])
                 if doc_id in good:
                     mine.append(every[-1])
             if every:
@@ -140,34 +117,36 @@ def _unlikely(seen, raw, share: float, limit: float):
     return out
 
 
+def _can_be_unlikely(share: float, limit: float) -> Column:
+    """False only where _unlikely is: the chance of no more than ``target`` of ``raw`` is at least (n p / k (1 - p))^k (1 - p)^n."""
+    k, n = F.col("target"), F.col("raw")
+    least = F.when(k > 0, k * F.log(n * share / (k * (1 - share)))).otherwise(0.0) + n * math.log1p(-share)
+    return (n > 2_000) | (least <= math.log(limit) + 1e-6)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     """Features that target text avoids, in order, and the logs of their ratios.
 
-    Buckets are tested first; the features of those that fail are then counted and tested one by one, so that no feature
-    answers for another of its bucket.
+    All features are counted, each on its own. The driver gets only those that can fail the test.
     """
     import numpy as np
 
     nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
     target = target_ids(labels, rows)
-    counts = bucket_counts(docs, target).toArrow()
-    bucket, raw, mine = (counts[c].to_numpy() for c in ("bucket", "raw", "target"))
-    documents, sample = int(raw[bucket == -1].sum()), int(mine[bucket == -1].sum())
-    if not sample:
+    if not target:
+        return nothing
+    ids = docs.sparkSession.createDataFrame([(i,) for i in target], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
+    documents, sample = docs.count(), docs.select("doc_id").join(F.broadcast(ids), "doc_id", "left_semi").count()
+    if not sample or sample == documents:
         return nothing
     share = sample / documents
-    limit = ERROR / max(1, int(((raw * share >= EXPECTED) & (bucket >= 0)).sum()))
-
-    def avoided(raw, mine):
-        expected = raw * share
-        logs = np.log((mine + ADDED) / (expected + ADDED))
-        return (expected >= EXPECTED) & (logs <= LEAST_LOG) & _unlikely(mine, raw, share, limit), logs
-
-    chosen = bucket[avoided(raw, mine)[0] & (bucket >= 0)].astype(np.int64)
-    # The sum over a bucket hides a feature only if others of its bucket are many times as frequent.
-    able = feature_counts(docs, target, chosen).where((F.col("raw") * share >= EXPECTED) & (F.log((F.col("target") + ADDED) / (F.col("raw") * share + ADDED)) <= LEAST_LOG)).toArrow()
+    tested = written(feature_counts(docs, target).where(F.col("raw") * share >= EXPECTED), "features")
+    limit = ERROR / max(1, tested.count())
+    log_ratio = F.log((F.col("target") + ADDED) / (F.col("raw") * share + ADDED))
+    able = tested.where((log_ratio <= LEAST_LOG + 1e-9) & _can_be_unlikely(share, limit)).toArrow()
     feature, raw, mine = (able[c].to_numpy() for c in ("feature", "raw", "target"))
-    counted, logs = avoided(raw, mine)
+    logs = np.log((mine + ADDED) / (raw * share + ADDED))
+    counted = (logs <= LEAST_LOG) & _unlikely(mine, raw, share, limit)
     order = np.argsort(feature[counted])
     return feature[counted][order], logs[counted][order]
 
