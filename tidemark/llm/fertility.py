@@ -46,8 +46,8 @@ REACH = {"chars_per_token": 4.0, "byte_share": 4.0, "entropy_share": 1.25}
 LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.1, "entropy_share": 0.15}
 #: Measures of short texts scatter: a text of n words has bands wider by the factor 1 + SHORT_WORDS / n.
 SHORT_WORDS = 10
-#: Documents a group needs for bands of its own; smaller groups take those of all documents.
-GROUP_DOCS = 100
+#: Quartiles of few texts say little: a group of n texts has bands wider by the factor 1 + SMALL_GROUP / n. None is judged by the bands of others.
+SMALL_GROUP = 25
 #: Words from which a text is long enough for its bands; below, n_words decides alone.
 MIN_WORDS = 20
 
@@ -235,10 +235,14 @@ def _edges(q: Column, metric: str) -> tuple[Column, Column]:
 
 
 def fit_bands(measured: DataFrame) -> DataFrame:
-    """(band, docs, <metric>_middle, <metric>_low, <metric>_high): bands per language or script over all texts of MIN_WORDS words, and for band null over all groups."""
+    """(band, docs, <metric>_middle, <metric>_low, <metric>_high): bands per language or script over all texts of MIN_WORDS words, however few."""
     rows = measured.where(F.col("n_words") >= MIN_WORDS).withColumn("band", F.coalesce("lang", "script"))
-    every = _quartiles(rows, "band").where(F.col("docs") >= GROUP_DOCS).unionByName(_quartiles(rows.withColumn("band", F.lit(None).cast("string")), "band"))
-    return every.select("band", "docs", *[e.alias(f"{m}_{side}") for m in METRICS for side, e in zip(("middle", "low", "high"), (F.col(m)[1], *_edges(F.col(m), m)), strict=True)])
+    wider = 1 + SMALL_GROUP / F.col("docs")
+    edges = []
+    for m in METRICS:
+        middle, (low, high) = F.col(m)[1], _edges(F.col(m), m)
+        edges += [middle.alias(f"{m}_middle"), (middle - (middle - low) * wider).alias(f"{m}_low"), (middle + (high - middle) * wider).alias(f"{m}_high")]
+    return _quartiles(rows, "band").select("band", "docs", *edges)
 
 
 def fertility_filter(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
@@ -247,18 +251,16 @@ def fertility_filter(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataF
     ``docs`` needs doc_id, text and lang; other columns are not read. A null or empty text has no words, zeros for
     all measures and fails (fewer than 20 words). A null lang takes the bands of the text's script. Equal rows are
     answered alike, and rows may share a doc_id. An empty table gives an empty one. Bands come from all rows; the
-    table of bands has one row per language or script of at least GROUP_DOCS documents, and is joined by size.
+    table of bands has one row per language or script, and is joined by size. The fewer texts a group has, the wider its
+    bands: a handful is judged by the base rules almost alone.
     """
     measured = written(measure(docs, vocabularies), "fertility")
-    bands = fit_bands(measured)
-    whole = bands.where("band IS NULL").drop("band", "docs")
-    own = bands.where("band IS NOT NULL").drop("docs").withColumnRenamed("band", "__band")
-    edges = [f"{m}_{side}" for m in METRICS for side in ("middle", "low", "high")]
-    joined = measured.withColumn("band", F.coalesce("lang", "script")).join(own, F.col("band") == F.col("__band"), "left").join(F.broadcast(whole.select(*[F.col(e).alias(f"__{e}") for e in edges])), F.lit(True), "left")
+    own = fit_bands(measured).drop("docs").withColumnRenamed("band", "__band")
+    joined = measured.withColumn("band", F.coalesce("lang", "script")).join(own, F.col("band") == F.col("__band"), "left")
     wider = 1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1))
 
     def inside(m: str) -> Column:
-        middle, low, high = (F.coalesce(f"{m}_{x}", f"__{m}_{x}") for x in ("middle", "low", "high"))
+        middle, low, high = (F.col(f"{m}_{x}") for x in ("middle", "low", "high"))
         return F.col(m).between(middle - (middle - low) * wider, middle + (high - middle) * wider)
 
     beyond = [F.when(~inside(m), F.lit(m)) for m in METRICS]
