@@ -67,3 +67,24 @@ def test_all_values_of_the_tables_go_and_come_back(spark):
 def test_odd_and_empty(odd, none):
     assert pseudonymised(odd, "k").count() == odd.count()
     assert pseudonymised(none, "k").collect() == []
+
+
+def test_international_formats_change_within_their_format_and_come_back(spark):
+    values = [
+        "+14155550100", "+442079460958", "+44 20 7946 0958", "+49 30 123456", "+33 (0)1 23 45 67 89", "+4930123456", "3782 822463 10005", "3782-822463-10005", "123-45-6789", "899-99-9999", "667-01-0001",
+        "GB29NWBK60161331926819", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "DE88370400440532013000", "05/31/2024", "2024/05/31", "12/13/1999",
+    ]
+    docs = spark.createDataFrame([(i, f"see {v}, then") for i, v in enumerate(values)], "doc_id int, text string")
+    out = pseudonymised(docs, "k")
+    rows = {r["doc_id"]: r["text"][4:-6] for r in out.collect()}
+    for i, v in enumerate(values):
+        assert rows[i] != v and shape(rows[i]) == shape(v), (v, rows[i])
+    assert all(luhn(re.sub("[ -]", "", rows[i])) for i in (6, 7)) and rows[0].startswith("+1") and rows[1].startswith("+44")
+    assert re.sub(" ", "", rows[1]) == re.sub(" ", "", rows[2]) and re.sub(" ", "", rows[13]) == rows[12]
+    mod = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+    assert all(mod(rows[i].replace(" ", "")) == 1 for i in (11, 12, 13, 14)) and mod(rows[15]) != 1
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", rows[i]) for i in (8, 9, 10))
+    assert all(int(rows[i][3:5]) > 12 >= int(rows[i][:2]) for i in (16, 18))
+    assert {r["doc_id"]: r["text"][4:-6] for r in pseudonymised(out, "k", undo=True).collect()} == dict(enumerate(values))
+    month_first = spark.range(2_000).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("text"))
+    assert pseudonymised(month_first, "k").select("text").distinct().count() == month_first.count()
