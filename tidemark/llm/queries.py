@@ -107,3 +107,11 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pseudonyms import pseudonymised
 
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key for tests")
+
+
+@query()
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import balanced_shards
+
+    placed = balanced_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
