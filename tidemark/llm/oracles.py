@@ -97,3 +97,25 @@ WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, rege
  low AS (SELECT reach.a AS r, min(y.doc_id) AS component_id FROM reach JOIN x z ON z.r = reach.b JOIN (SELECT list_sort(sh) AS sh, doc_id FROM s JOIN d USING (r) WHERE len(sh) > 0) y ON y.sh = z.sh GROUP BY reach.a)
 SELECT d.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN d.doc_id ELSE low.component_id END AS component_id
 FROM d JOIN s USING (r) LEFT JOIN x ON x.sh = list_sort(s.sh) LEFT JOIN low ON low.r = x.r"""
+
+
+def centroids(clusters: int = 8, rounds: int = 10) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+ d{n} AS MATERIALIZED (SELECT e.r, c.c, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{n} c USING (i) GROUP BY ALL),
+ a{n} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(c, (d, c)) AS c FROM d{n} GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+ s{n} AS (SELECT a.c, e.i, sum(e.x) AS s, count(*) AS k FROM e JOIN a{n} a USING (r) GROUP BY ALL),
+ c{n + 1} AS MATERIALIZED (SELECT c.c, c.i, CASE WHEN s.k IS NULL THEN c.x ELSE CAST((s.s - (s.s % s.k + s.k) % s.k) // s.k AS BIGINT) END AS x FROM c{n} c LEFT JOIN s{n} s ON s.c = c.c AND s.i = c.i)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda t: CAST(floor(1024 * CAST(t AS DOUBLE)) AS BIGINT)) AS x
+   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda t: t IS NOT NULL AND isfinite(t))) = 64),
+ e AS MATERIALIZED (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+ f AS (SELECT r, row_number() OVER (ORDER BY sha256(concat('3:', coalesce(CAST(vec_id AS VARCHAR), ''))), x) - 1 AS c FROM v),
+ c0 AS MATERIALIZED (SELECT f.c, e.i, e.x FROM f JOIN e USING (r) WHERE f.c < {clusters}),{",".join(steps)},
+ h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c)
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.digest AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN h ON h.c = a.c"""

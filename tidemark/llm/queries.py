@@ -115,3 +115,17 @@ def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = balanced_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(oracles.centroids())
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pivots import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
