@@ -70,31 +70,35 @@ def bracket(band: tuple, rank: int, low: float, high: float, width: float) -> tu
 
 
 def intervals(matrix, wanted: int, per: int = PER_INTERVAL) -> tuple[list[tuple[float, float, int]], tuple]:
-    """[(low, high, eigenvalues in it)] from the top down, which cover the leading ``wanted`` eigenvalues above rounding level, and the band they were counted in.
+    """[(low, high, eigenvalues in it)] from the top down, which together hold the leading ``wanted`` eigenvalues above rounding level, and the band they were counted in.
 
-    Cuts are in the widest gap within a few ranks of every ``per``-th eigenvalue; the last lies below the wanted ones.
+    They end at a gap much wider than others near it, else at the widest within a few ranks of every ``per``-th
+    eigenvalue. Ends lie close to the eigenvalues, for a circle much wider than them would tell its ends' neighbours
+    apart badly; inertia proves that none lies between two intervals.
     """
     band = tridiagonal(matrix)
     radius = float(abs(matrix).sum(axis=1).max())
-    top, floor = radius * (1 + 1e-9), radius * 1e-12
-    rank = above(band, floor)
-    wanted, n = min(wanted, rank), len(matrix)
-    out, taken, high = [], 0, top
+    top = radius * (1 + 1e-9)
+    rank, n, least = above(band, radius * 1e-12), len(matrix), radius * 1e-6
+    wanted = min(wanted, rank)
+    place = lambda j: sum(bracket(band, j, -top, top, radius * 1e-7)) / 2 if 1 <= j <= n else math.copysign(math.inf, 1 - j)
+    out, taken, first, before = [], 0, place(1), math.inf
     while taken < wanted:
         goal = min(taken + per, wanted)
-        best = None
         # An eigenvalue beyond those wanted may be enclosed, if the gap there is wider.
-        for last in range(goal, min(goal + per // 2, n) + 1):
-            upper = bracket(band, last, -top, top, radius * 1e-7)[0]
-            lower = -top if last == n else bracket(band, last + 1, -top, top, radius * 1e-7)[1]
-            if best is None or upper - lower > best[0]:
-                best = (upper - lower, (upper + lower) / 2 if last < n else upper - radius * 1e-3)
-        cut = best[1]
-        found = above(band, cut)
-        if found <= taken:
+        at = [first, *[place(j) for j in range(taken + 2, min(goal + per // 2, n) + 2)]]
+        gaps = [a - b for a, b in zip(at, at[1:])]
+        wide = max(8 * sorted(gaps)[len(gaps) // 2], 100 * least)
+        last = next((j for j in range(goal - taken - 1) if gaps[j] > wide), None)
+        if last is None:
+            last = max(range(goal - taken - 1, len(gaps)), key=lambda j: gaps[j])
+        room = max(least, 0.1 * (first - at[last]))
+        low, high = at[last] - min(room, gaps[last] / 2), first + min(room, before / 2)
+        count = above(band, low) - taken
+        if above(band, high) != taken or count <= 0:
             raise ArithmeticError("no gap between eigenvalues to cut at")
-        out.append((cut, high, found - taken))
-        taken, high = found, cut
+        out.append((low, high, count))
+        taken, first, before = taken + count, at[last + 1], gaps[last]
     return out, band
 
 
