@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 from tidemark.operators.scan import prefix_scan
 
-SHARDS, ROUNDS = 16, 8
+SHARDS, ROUNDS, POOR = 16, 12, 3
 #: Quotas are a table of shards x shards numbers on the driver; this bounds it.
 MOST_SHARDS = 256
 #: Rows or classes that one running sum, or one sort of a class, takes on its own.
@@ -54,74 +54,94 @@ def together(state: DataFrame, keys: Sequence[str]) -> float:
     return reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
 
 
-def quotas(wanted: dict[tuple[int, int], int], held: list[int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many rows may go from shard to shard so that none ends above its capacity.
+def quotas(wanted: dict[tuple[int, int, int], int], held: list[int], room: list[int]) -> dict[tuple[int, int, int], int]:
+    """How many rows may go from shard to shard (by kind of move) so that none ends above its capacity.
 
-    All moves are let in first. A shard that would end above its capacity takes fewer, the largest inflows giving way
-    first; those who stay behind count against their own shard, until all fit. Inflows only fall, so this ends.
+    All moves are let in first. A shard that would end above its capacity takes fewer, its inflows giving way in
+    proportion; those who stay behind count against their own shard, until all fit. Inflows only fall, so this ends.
     """
     moves = dict(wanted)
     while True:
-        over = [held[t] + sum(n for (s, u), n in moves.items() if u == t) - sum(n for (s, u), n in moves.items() if s == t) - room[t] for t in range(len(held))]
+        over = [held[t] + sum(n for p, n in moves.items() if p[1] == t) - sum(n for p, n in moves.items() if p[0] == t) - room[t] for t in range(len(held))]
         if max(over) <= 0:
             return moves
         for t, excess in enumerate(over):
-            for pair in sorted((p for p in moves if p[1] == t), key=lambda p: (-moves[p], p)):
-                if excess <= 0:
-                    break
-                less = min(excess, moves[pair])
-                moves[pair], excess = moves[pair] - less, excess - less
+            inflows = sorted((p for p in moves if p[1] == t and moves[p]), key=lambda p: (-moves[p], p))
+            total = sum(moves[p] for p in inflows)
+            excess = left = max(0, min(excess, total))
+            for p in inflows:
+                less = min(moves[p], -(-excess * moves[p] // total), left)
+                moves[p], left = moves[p] - less, left - less
 
 
-def _asking(state: DataFrame, keys: Sequence[str], open_to: list[bool]) -> DataFrame:
-    """Parts of classes with the shard they ask for (want) and what the move gains; only those that ask for another one."""
+def _asking(state: DataFrame, keys: Sequence[str], shards: int, capacity: int, turned: dict[tuple[int, int], int], turn: int) -> DataFrame:
+    """Parts of classes with the shard they want, what the move gains and its kind; only those that want another one.
+
+    Kind 0 asks. The homes of a class are the shards with most of its neighbours, as many as its neighbours fill. Rows
+    in a home stay; the others ask for the homes in equal parts. Kind 1 yields: a class that has all its neighbours with
+    it loses nothing by moving, and goes where rows come from that its shard has turned away.
+    """
     joined = state
     for key in keys:
         joined = joined.join(_by_link(state, key), key, "left")
     near = lambda t: reduce(Column.__add__, [F.coalesce(F.try_element_at(f"by_{k}", t), F.lit(0).cast("long")) for k in keys])
-    # Ties go to a shard that hangs on the link alone, so that all ends of a link choose the same.
-    tie = lambda t: F.xxhash64(F.coalesce(*keys, F.col("class")), t)
-    open_ = _constant([int(x) for x in open_to])
-    able = F.filter(F.sequence(F.lit(0), F.lit(len(open_to) - 1)), lambda t: (t == F.col("shard")) | (F.get(open_, t) == 1))
-    best = F.array_max(F.transform(able, lambda t: F.struct(near(t).alias("near"), tie(t).alias("tie"), t.alias("shard"))))
-    asked = joined.withColumn("best", best).select("class", *keys, "shard", "n", F.col("best.shard").alias("want"), (F.col("best.near") - near(F.col("shard"))).alias("gain"))
-    return asked.where("want <> shard")
+    # Ties hang on the link and the round alone, so that all ends of a link choose the same, and another one if that is full.
+    tie = lambda t: F.xxhash64(F.coalesce(*keys, F.col("class")), (t + F.lit(1000 * turn)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    ranked = F.sort_array(F.transform(every, lambda t: F.struct(near(t).alias("near"), tie(t).alias("tie"), t.alias("shard"))), asc=False)
+    all_near = F.aggregate(every, F.lit(0).cast("long"), lambda a, t: a + near(t))
+    homed = joined.withColumn("whole", all_near).withColumn("here", near(F.col("shard"))).withColumn("homes", F.slice(ranked, 1, F.greatest(F.ceil(F.col("whole") / capacity).cast("int"), F.lit(1))))
+    at_home = F.exists("homes", lambda h: h["shard"] == F.col("shard"))
+    # The i-th of m homes is asked by every m-th row.
+    asks = homed.where(~at_home).select("*", F.posexplode("homes").alias("i", "home")).withColumn("n", F.floor((F.col("n") + F.size("homes") - 1 - F.col("i")) / F.size("homes"))).where("n > 0")
+    columns = ["class", *keys, "shard", "n"]
+    asks = asks.select(*columns, F.col("home.shard").alias("want"), F.greatest(F.col("home.near") - F.col("here"), F.lit(0)).alias("gain"), F.lit(0).alias("kind"))
+    if not turned:
+        return asks
+    table = _constant([turned.get((s, t), 0) for t in range(shards) for s in range(shards)])
+    waiting = F.filter(every, lambda s: F.get(table, (F.col("shard") * shards + s).cast("int")) > 0)
+    to = F.array_max(F.transform(waiting, lambda s: F.struct(tie(s).alias("tie"), s.alias("shard"))))["shard"]
+    yields = homed.where(at_home & (F.col("here") == F.col("whole"))).withColumn("to", to).where("to IS NOT NULL")
+    return asks.unionByName(yields.select(*columns, F.col("to").alias("want"), F.lit(0).cast("long").alias("gain"), F.lit(1).alias("kind")))
 
 
 def propagate(state: DataFrame, keys: Sequence[str], room: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
     """(class, keys, shard, n) after label propagation, and the rows that each shard then holds.
 
-    A shard that had to turn rows away is closed for one round unless it has room, so that what is left of a group too
-    large for it gathers in another. The state with most linked pairs together is the result; two rounds without a
-    better one, or one in which nobody asks, end the search.
+    The state with most linked pairs together is the result; POOR rounds without a better one, or one in which nobody
+    asks, end the search. The driver holds numbers by pairs of shards only.
     """
     shards = len(room)
-    holding = lambda s: [dict(s.groupBy("shard").agg(F.sum("n")).collect()).get(t, 0) for t in range(shards)]
-    held, open_to, poor = holding(state), [True] * shards, 0
+    columns = ["class", *keys, "shard", "n"]
+
+    def holding(s: DataFrame) -> list[int]:
+        found = dict(s.groupBy("shard").agg(F.sum("n")).collect())
+        return [found.get(t, 0) for t in range(shards)]
+
+    held, turned, poor = holding(state), {}, 0
     best, score = (state, held), together(state, keys)
-    for _ in range(rounds):
-        asking = written(_asking(state, keys, open_to), "shard-asking")
-        wanted = {(r[0], r[1]): r[2] for r in asking.groupBy("shard", "want").agg(F.sum("n")).collect()}
-        if not wanted and all(open_to):
+    for turn in range(rounds):
+        asking = written(_asking(state, keys, shards, max(1, sum(room) // shards), turned, turn), "shard-asking")
+        wanted = {(r[0], r[1], r[2]): r[3] for r in asking.groupBy("shard", "want", "kind").agg(F.sum("n")).collect()}
+        if not any(kind == 0 for _, _, kind in wanted):
             break
+        wanted = {(s, t, kind): min(n, turned[t, s]) if kind else n for (s, t, kind), n in wanted.items()}
         moves = quotas(wanted, held, room)
         part, bits = _leading("class", asking.count())
         level = F.lit(63) - F.floor(F.log2(F.col("gain") + 1))
-        ranked = prefix_scan(asking.withColumn("level", level), ["shard", "want"], ["level", "class"], F.shiftleft(F.col("level"), bits) + part, {"before": ("sum", F.col("n"))})
-        table = _constant([moves.get((s, t), 0) for s in range(shards) for t in range(shards)])
-        quota = F.get(table, (F.col("shard") * shards + F.col("want")).cast("int"))
+        ranked = prefix_scan(asking.withColumn("level", level), ["shard", "want", "kind"], ["level", "class"], F.shiftleft(F.col("level"), bits) + part, {"before": ("sum", F.col("n"))})
+        table = _constant([moves.get((s, t, kind), 0) for kind in (0, 1) for s in range(shards) for t in range(shards)])
+        quota = F.get(table, ((F.col("kind") * shards + F.col("shard")) * shards + F.col("want")).cast("int"))
         admitted = ranked.withColumn("n", F.least("n", F.greatest(F.lit(0), quota - F.coalesce("before", F.lit(0))))).where("n > 0")
-        columns = ["class", *keys, "shard", "n"]
         after = state.select(*columns).unionByName(admitted.withColumn("n", -F.col("n")).select(*columns)).unionByName(admitted.withColumn("shard", F.col("want")).select(*columns))
         state = written(after.groupBy("class", *keys, "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
         held = holding(state)
-        turned = [sum(n for (s, u), n in wanted.items() if u == t) > sum(n for (s, u), n in moves.items() if u == t) for t in range(shards)]
-        open_to = [held[t] < room[t] or not turned[t] for t in range(shards)]
+        turned = {(s, t): n - moves[s, t, 0] for (s, t, kind), n in wanted.items() if kind == 0 and n > moves[s, t, 0]}
         now = together(state, keys)
         poor = 0 if now > score else poor + 1
         if now > score:
             best, score = (state, held), now
-        if poor == 2:
+        if poor == POOR:
             break
     return best
 
