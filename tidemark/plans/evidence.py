@@ -3,8 +3,6 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as ev
-from tidemark.operators import features as ft
-from tidemark.operators import screener as sc
 from tidemark.plans.adapters import TEXT, table
 from tidemark.plans.registry import query
 
@@ -171,17 +169,6 @@ def _sm15(spark, sf):
     return ev.readiness(market, spans, table(spark, sf, "observations")).select("request_id", "data_ready", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("sm16_technical_results")
-def _sm16(spark, sf):
-    """Features and episode of every ready weekly session, and the candidates they promote."""
-    run = ft.runs(table(spark, sf, "bars_weekly"), table(spark, sf, "calendar_weekly"))
-    panel = ft.features(ft.align_benchmark(run, table(spark, sf, "benchmark_weekly")))
-    rows = panel.select("instrument_id", "session_date", F.when(F.col("volume") > 20, "ELIGIBLE").otherwise("DATA_BLOCKED").alias("eligibility"), "close", F.col("priorHigh20.value").alias("prior_high20"))
-    states = sc.episodes(rows).join(panel.select("instrument_id", "session_date", "ema20", "rs20Pp"), ["instrument_id", "session_date"])
-    promoted = states.where(F.col("evaluated") & F.col("setup").isin("WATCH", "CONFIRMED"))
-    return promoted.select("instrument_id", "session_date", "setup", "episode_id", F.sha2(F.to_json(F.struct("instrument_id", "session_date", "setup", "episode_id")), 256).alias("candidate_id"))
-
-
 @query("prj10_usage_decisions", """
 WITH s AS (SELECT request_id, concat('P', CAST(k AS VARCHAR)) AS source_id, NOT (k = 0 AND qty = 5) AS enabled, qty = 6 AS restricted, DATE '1994-01-01' AS vf, CASE WHEN qty = 7 THEN NULL WHEN qty = 8 THEN DATE '1995-01-01' ELSE DATE '2030-01-01' END AS vu, CAST(known_at AS DATE) AS used_at, qty <> 9 AS cap FROM {{conditions}} CROSS JOIN (SELECT n_regionkey AS k FROM {{nation}} GROUP BY 1 HAVING n_regionkey < 2) n),
  o AS (SELECT request_id, op FROM {{conditions}} CROSS JOIN (VALUES ('Display'), ('RetainOriginal')) v(op) UNION ALL SELECT request_id, 'Export' FROM {{conditions}} WHERE disc = 9 UNION ALL SELECT request_id, 'SaasConsumption' FROM {{conditions}} WHERE tax = 8),
