@@ -22,15 +22,29 @@ def test_counts_equal_a_plain_count(spark, odd):
     import numpy as np
 
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in odd.collect()]
-    features = [set(f[0].tolist()) for f in rs._features([t for _, t in texts], rs._Numbers())]
-    buckets = np.arange(rs.WORDS + rs.PAIRS)
-    got = {r["feature"]: (r["raw"], r["target"]) for r in rs.feature_counts(odd, [1, 9], buckets).collect()}
+    features = [set(f.tolist()) for f in rs._features([t for _, t in texts], rs._Numbers())]
     want = {}
     for (doc_id, _), found in zip(texts, features, strict=True):
         for f in found:
             raw, mine = want.get(f, (0, 0))
             want[f] = (raw + 1, mine + (doc_id in (1, 9)))
-    assert got == want
+    plain = lambda bits: {r["feature"]: (r["raw"], r["target"]) for r in rs.feature_counts(odd, [1, 9], bits).collect()}
+    assert plain(None) == want
+    # The sketch loses no feature of three documents or more, and spares most of the others.
+    some = plain(rs.frequent_cells(odd, 3))
+    frequent = {f: c for f, c in want.items() if c[0] >= 3}
+    assert frequent.items() <= some.items() <= want.items() and len(some) - len(frequent) < 0.01 * len(want)
+    every = np.array(sorted(want))
+    assert all(0 <= rs._cell(every, row).min() and rs._cell(every, row).max() < rs.CELLS for row in range(rs.DEPTH))
+
+
+def test_a_sample_of_stated_size_and_ties(spark):
+    docs, labels = tables(spark, "sf0.001")
+    assert rs.resample(docs, labels, k=50).count() == 50 and rs.resample(docs, labels, k=0).count() == 0
+    # Equal rows have equal keys, so all of a tie at the last key stay.
+    twice = docs.unionByName(docs)
+    kept = rs.resample(twice, labels, k=51)
+    assert kept.count() == 52 and kept.select("doc_id").distinct().count() == 26
 
 
 def test_kth_greatest(spark):
@@ -47,29 +61,20 @@ def test_odd_and_empty(spark, odd, none):
     assert rs.resampled(odd, labels.limit(0)).count() == odd.count()
 
 
-def test_finds_each_feature_that_fails_alone_in_whatever_bucket(spark):
+def test_finds_each_feature_that_fails_alone(spark):
     import numpy as np
 
-    # A bad word shares its bucket with a word that stands in all texts.
-    seen, pair = {}, None
-    for i in range(200_000):
-        word = f"w{i}".encode()
-        bucket = int(next(rs._features([word], rs._Numbers()))[1][0])
-        if bucket in seen:
-            pair = seen[bucket].decode(), word.decode()
-            break
-        seen[bucket] = word
-    common, bad = pair
+    common, bad = "common", "bad"
     rows = [(i, f"{common} t{i % 7}" + (f" {bad}" if i % 8 == 1 else "")) for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 800, 2)], "doc_id long, quality int, toxic int")
     model = rs.fit(docs, labels)
-    feature = next(rs._features([bad.encode()], rs._Numbers()))[0][0]
+    feature = next(rs._features([bad.encode()], rs._Numbers()))[0]
     assert feature in model[0]
     # All features, counted and tested plainly.
     good = set(range(0, 800, 2))
     counts = {}
-    for (i, _), (found, _) in zip(rows, rs._features([t.encode() for _, t in rows], rs._Numbers()), strict=True):
+    for (i, _), found in zip(rows, rs._features([t.encode() for _, t in rows], rs._Numbers()), strict=True):
         for f in found.tolist():
             raw, mine = counts.get(f, (0, 0))
             counts[f] = (raw + 1, mine + (i in good))

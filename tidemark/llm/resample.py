@@ -8,6 +8,10 @@ greatest; k is the sum of importances, so that where nothing is avoided all docu
 Features are counted once a document, so that one text that repeats itself does not make a model. Ratios above one
 count as one: nothing in a text makes up for what target text never has. A ratio counts only if chance does not
 explain it, with the number of features tested taken into account.
+
+Most features stand in a handful of documents and can never be tested. A count-min sketch of all features is taken
+first: it never counts too little, so a feature whose cells hold too few documents needs no count of its own, and only
+the others are counted one by one through a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import is_under, text_bytes, written
 
-#: Buckets of words and runs of marks, and of pairs of them, for counts of a part of the features.
-WORDS, PAIRS = 1 << 18, 1 << 17
+#: Rows and cells of the sketch, and cells that one row of its table holds. A test asks for EXPECTED * documents / sample documents, which grows as the noise of a cell does, so this size serves any corpus.
+DEPTH, CELLS, SEGMENT = 2, 1 << 23, 1 << 16
+#: Features that a task gathers before it adds them up.
+GATHERED = 1 << 20
 #: Labelled documents at most from which the target model is learned: those with the least hash of their id.
 FIT_ROWS = 50_000
 #: Documents that a feature is expected in before it is tested, the error allowed in all tests, the log ratio from which a feature counts, and the count added to both sides.
@@ -43,7 +49,7 @@ class _Numbers(dict):
 
 
 def _features(texts, numbers: _Numbers):
-    """For each text its distinct features and the buckets they fall into."""
+    """For each text its distinct features."""
     import re
 
     import numpy as np
@@ -55,13 +61,79 @@ def _features(texts, numbers: _Numbers):
     for text in texts:
         tokens = find(text.lower()) if text else ()
         if not tokens:
-            yield none, none
+            yield none
             continue
         code = np.fromiter(map(numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens)).view(np.uint64)
         with np.errstate(over="ignore"):
             pair = np.unique((code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:]) * np.uint64(0xBF58476D1CE4E5B9))
-        code = np.unique(code)
-        yield np.concatenate([code, pair]).view(np.int64), np.concatenate([code % np.uint64(WORDS), WORDS + (pair >> np.uint64(40)) % np.uint64(PAIRS)]).astype(np.int64)
+        yield np.concatenate([np.unique(code), pair]).view(np.int64)
+
+
+def _cell(features, row: int):
+    """The cell of each feature in a row of the sketch."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        mixed = features.view(np.uint64) * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[row])
+    return (mixed >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _gathered(batches, numbers: _Numbers) -> Iterator:
+    """(doc_ids, lists of features) of at most about GATHERED features."""
+    ids, lists, size = [], [], 0
+    for batch in batches:
+        for doc_id, found in zip(batch.column(0).to_pylist(), _features(text_bytes(batch), numbers), strict=True):
+            ids.append(doc_id)
+            lists.append(found)
+            size += len(found)
+            if size >= GATHERED:
+                yield ids, lists
+                ids, lists, size = [], [], 0
+    if ids:
+        yield ids, lists
+
+
+def frequent_cells(docs: DataFrame, least: float):
+    """For each row of the sketch, whether a cell counts ``least`` documents or more, as packed bits.
+
+    A task sends its non-empty segments, deflated; a segment's sums are made where its parts meet, and the driver gets
+    a bit a cell.
+    """
+    import zlib
+
+    import numpy as np
+
+    def sketch(batches) -> Iterator:
+        import pyarrow as pa
+
+        table, numbers = np.zeros(DEPTH * CELLS, dtype=np.uint32), _Numbers()
+        for _, lists in _gathered(batches, numbers):
+            every = np.concatenate(lists)
+            for row in range(DEPTH):
+                cells, times = np.unique(_cell(every, row), return_counts=True)
+                table[row * CELLS + cells] += times.astype(np.uint32)
+        segments = table.reshape(-1, SEGMENT)
+        for i in np.flatnonzero(segments.any(axis=1)):
+            part = segments[i].astype(np.uint8) if segments[i].max() < 256 else segments[i]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "part"])
+
+    def add(batches) -> Iterator:
+        import pyarrow as pa
+
+        total: dict[int, object] = {}
+        for batch in batches:
+            for i, part in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                raw = zlib.decompress(part)
+                total.setdefault(i, np.zeros(SEGMENT, dtype=np.uint64))
+                total[i] += np.frombuffer(raw, np.uint8 if len(raw) == SEGMENT else np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(t >= least).tobytes() for t in total.values()], pa.binary())], names=["segment", "bits"])
+
+    segments = DEPTH * CELLS // SEGMENT
+    parts = docs.select("doc_id", "text").mapInArrow(sketch, "segment int, part binary").repartition(min(segments, 64), "segment")
+    bits = np.zeros((segments, SEGMENT // 8), dtype=np.uint8)
+    for r in parts.mapInArrow(add, "segment int, bits binary").collect():
+        bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(DEPTH, -1)
 
 
 def target_ids(labels: DataFrame, rows: int = FIT_ROWS) -> list:
@@ -70,30 +142,25 @@ def target_ids(labels: DataFrame, rows: int = FIT_ROWS) -> list:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
 
 
-def feature_counts(docs: DataFrame, target: list, buckets=None) -> DataFrame:
-    """(feature, raw, target): documents with a feature, and those of the target sample; of all features, or of those that fall into some buckets."""
-    held = docs.sparkSession.sparkContext.broadcast((frozenset(target), buckets))
+def feature_counts(docs: DataFrame, target: list, bits=None) -> DataFrame:
+    """(feature, raw, target): documents with a feature, and those of the target sample; of all features, or of those whose cells are all set in ``bits``."""
+    held = docs.sparkSession.sparkContext.broadcast((frozenset(target), bits))
 
     def count(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         numbers, (good, wanted) = _Numbers(), held.value
-        chosen = np.full(WORDS + PAIRS, wanted is None)
-        if wanted is not None:
-            chosen[wanted] = True
-        for batch in batches:
-            every, mine = [], []
-            for doc_id, (features, found) in zip(batch.column(0).to_pylist(), _features(text_bytes(batch), numbers), strict=True):
-                every.append(features if wanted is None else features[chosen[found]])
-                if doc_id in good:
-                    mine.append(every[-1])
-            if every:
-                feature, raw = np.unique(np.concatenate(every), return_counts=True)
-                seen, times = np.unique(np.concatenate([*mine, np.zeros(0, dtype=np.int64)]), return_counts=True)
-                target = np.zeros(len(feature), dtype=np.int64)
-                target[np.searchsorted(feature, seen)] = times
-                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(raw.astype(np.int64)), pa.array(target)], names=["feature", "raw", "target"])
+        for ids, lists in _gathered(batches, numbers):
+            every, own = np.concatenate(lists), np.repeat([i in good for i in ids], [len(x) for x in lists])
+            for row in range(DEPTH if wanted is not None else 0):
+                cells = _cell(every, row)
+                kept = (wanted[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+                every, own = every[kept], own[kept]
+            if len(every):
+                feature, place, raw = np.unique(every, return_inverse=True, return_counts=True)
+                mine = np.bincount(place, weights=own, minlength=len(feature)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(raw.astype(np.int64)), pa.array(mine)], names=["feature", "raw", "target"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
@@ -127,7 +194,8 @@ def _can_be_unlikely(share: float, limit: float) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     """Features that target text avoids, in order, and the logs of their ratios.
 
-    All features are counted, each on its own. The driver gets only those that can fail the test.
+    Every feature that can be tested is counted on its own. There are at most features a document * ``rows`` / EXPECTED
+    of those, whatever the corpus, and the driver gets only those of them that can fail.
     """
     import numpy as np
 
@@ -140,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     if not sample or sample == documents:
         return nothing
     share = sample / documents
-    tested = written(feature_counts(docs, target).where(F.col("raw") * share >= EXPECTED), "features")
+    tested = written(feature_counts(docs, target, frequent_cells(docs, EXPECTED / share * (1 - 1e-12))).where(F.col("raw") * share >= EXPECTED), "features")
     limit = ERROR / max(1, tested.count())
     log_ratio = F.log((F.col("target") + ADDED) / (F.col("raw") * share + ADDED))
     able = tested.where((log_ratio <= LEAST_LOG + 1e-9) & _can_be_unlikely(share, limit)).toArrow()
@@ -173,7 +241,7 @@ def importance(docs: DataFrame, model) -> DataFrame:
 
         for batch in batches:
             texts = text_bytes(batch)
-            found = [(len(f), ratio(f)) for f, _ in _features(texts, numbers)]
+            found = [(len(f), ratio(f)) for f in _features(texts, numbers)]
             content = [xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in texts]
             made = [pa.array(content, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *made], names=[*names, *added])
@@ -210,26 +278,28 @@ def _key(temperature: float) -> Column:
     return F.col("log_ratio") / temperature + gumbel(F.col("doc_id"), F.col("content"))
 
 
-def _draw(docs: DataFrame, labels: DataFrame, rows: int, temperature: float):
+def _draw(docs: DataFrame, labels: DataFrame, rows: int, temperature: float, k: int | None = None):
     """The model, the keys of all documents, and the least key that is drawn."""
     model = fit(docs, labels, rows)
     keyed = importance(docs.select("doc_id", "text"), model).drop("text")
     keyed = written(keyed.withColumn("score", F.exp(F.col("log_ratio") / temperature)).withColumn("key", _key(temperature)), "importance")
     drawn, every = keyed.agg(F.sum("score"), F.count(F.lit(1))).first()
-    k = round(drawn or 0.0)
-    least = -math.inf if k >= every else math.inf if k == 0 else kth_greatest(keyed, "key", k)
+    k = round(drawn or 0.0) if k is None else k
+    least = -math.inf if k >= every else math.inf if k <= 0 else kth_greatest(keyed, "key", k)
     return model, keyed, least
 
 
-def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
     """The documents drawn: doc_id, content, n_features, log_ratio, score (importance, 0 to 1) and key.
 
+    ``k`` documents are drawn, or as many as the sum of importances. Texts count whole; a text of any length is one task's.
+
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic; other columns are not read. A document labelled
     more than once is good only if all its labels are. Null and empty texts have no features, hence importance 1. Equal
     rows get equal keys, and ties at the last key are all kept. A null doc_id is a value like others and never a target.
     Without labels, or with none that are good, nothing is avoided and all documents stay. An empty table stays empty.
     """
-    _, keyed, least = _draw(docs, labels, rows, temperature)
+    _, keyed, least = _draw(docs, labels, rows, temperature, k)
     return keyed.where(F.col("key") >= least)
 
 
