@@ -25,6 +25,8 @@ SIZE = 8
 LEAST_ITEM = 4
 #: Item windows up to which tasks hold their hashes to pass on only windows that can join; beyond it all windows are passed on.
 HELD_WINDOWS = 2_000_000
+#: Words by which a window is told from the benchmark's before the rest is hashed, and places of the table of these.
+LEAD, LEADS = 2, 1 << 22
 #: A pair counts from this share of the item's words, or from this number of words side by side.
 COVERAGE, RUN = 0.5, 13
 #: Diagonals are gathered up to so many words apart, and up to this share of the item's words, so that two copies side by side stay two.
@@ -181,11 +183,35 @@ def _within(mask, size: int):
     return upto[size:] - upto[:-size]
 
 
-def windows(form, size: int, first=None):
+def _mix(mixed, code):
+    import numpy as np
+
+    mixed = (mixed ^ code) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def leads(form, at, size: int):
+    """Places in a table of LEADS of the first words of a form's windows."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        mixed = np.full(len(at), size, dtype=np.uint64)
+        for i in range(min(LEAD, size)):
+            mixed = _mix(mixed, form.code[at + i])
+    return _place(mixed)
+
+
+def _place(mixed):
+    import numpy as np
+
+    return (mixed >> np.uint64(64 - LEADS.bit_length() + 1)).astype(np.int64)
+
+
+def windows(form, size: int, first=None, lead=None):
     """(positions, hashes) of a form's windows of ``size`` words of which half at least are no placeholders.
 
     Windows without a lost slot are those of an earlier form and left out. With ``first`` (codes of first words) only
-    windows that start with a name are made.
+    windows that start with a name are made. With ``lead`` only those whose first words stand in that table are hashed on.
     """
     import numpy as np
 
@@ -193,34 +219,37 @@ def windows(form, size: int, first=None):
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = None
-    if kind.any():
-        slots = _within(kind != WORD, size)
-        able = 2 * slots <= size
-        if lost is not None:
-            able &= (_within(lost, size) > 0) & (slots > 0)
-        if first is not None:
-            able &= kind[:n] == CAPITAL
-        at = np.flatnonzero(able)
+    able = None
+    if first is not None:
+        able = kind[:n] == CAPITAL
     elif lost is not None:
-        at = np.flatnonzero(_within(lost, size) > 0)
-    some = at is not None and 3 * len(at) < n
+        able = _within(lost, size) > 0
+    at = np.arange(n) if able is None else np.flatnonzero(able)
     with np.errstate(over="ignore"):
-        mixed = np.full(len(at) if some else n, size, dtype=np.uint64)
+        mixed = np.full(len(at), size, dtype=np.uint64)
         for i in range(size):
             source = first if i == 0 and first is not None else code
-            mixed = (mixed ^ (source[at + i] if some else source[i : n + i])) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed = _mix(mixed, source[i : n + i] if len(at) == n else source[at + i])
+            if lead is not None and i == min(LEAD, size) - 1:
+                known = lead[_place(mixed)]
+                at, mixed = at[known], mixed[known]
+                if not len(at):
+                    break
+        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-    hashes = mixed.view(np.int64)
-    if at is None:
-        return np.arange(n), hashes
-    return at, hashes if some else hashes[at]
+    if kind.any() and len(at):
+        # Half of the words at least must be no placeholders, and a form without names must have a slot left.
+        upto = np.concatenate([[0], np.cumsum(kind != WORD)])
+        slots = upto[at + size] - upto[at]
+        able = 2 * slots <= size
+        if lost is not None:
+            able &= slots > 0
+        at, mixed = at[able], mixed[able]
+    return at, mixed.view(np.int64)
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, item_words, width, item_pos, item_end, window, item_slots, at_edge, kept_slots).
+    """(item_id, item_words, width, item_pos, item_end, window, lead, item_slots, at_edge, kept_slots).
 
     at_edge marks slots that begin or end the item; kept_slots are the values of slots that stand as plain words.
 
@@ -233,7 +262,7 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
         words = _Words()
         for batch in batches:
-            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "item_end", "window", "item_slots", "at_edge", "kept_slots")}
+            out = {n: [] for n in ("item_id", "item_words", "width", "item_pos", "item_end", "window", "lead", "item_slots", "at_edge", "kept_slots")}
             for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
                 code, kind, ids, plain, starts = canonical(text, words)
                 if not len(code):
@@ -241,22 +270,23 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
                 short = len(code) < LEAST_ITEM and kind.any()
                 for form in forms(code, kind, plain, starts)[-1 if short else 0 :]:
                     width, last = min(size, len(form.code)), len(form.code) - 1
-                    for at, value in zip(*(x.tolist() for x in windows(form, width)), strict=True):
+                    places, values = windows(form, width)
+                    for at, value, lead in zip(places.tolist(), values.tolist(), leads(form, places, width).tolist(), strict=True):
                         slots = form.filled(at, width, words, ids)
                         edges = [i in (0, last) for i in range(at, at + width) if form.kind[i] != WORD]
                         pos, end = int(form.edge[at]), int(form.edge[at + width])
                         same = [words.value[ids[form.edge[i]]] for i in range(at, at + width) if form.kind[i] == WORD != kind[form.edge[i]]]
-                        for name, v in zip(out, (item, len(code), width, pos, end, value, slots, edges, same), strict=True):
+                        for name, v in zip(out, (item, len(code), width, pos, end, value, lead, slots, edges, same), strict=True):
                             out[name].append(v)
-            kinds = (batch.column(0).type, *[pa.int32()] * 4, pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+            kinds = (batch.column(0).type, *[pa.int32()] * 4, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    schema = f"item_id {kind_of_id}, item_words int, width int, item_pos int, item_end int, window long, item_slots array<string>, at_edge array<boolean>, kept_slots array<string>"
+    schema = f"item_id {kind_of_id}, item_words int, width int, item_pos int, item_end int, window long, lead int, item_slots array<string>, at_edge array<boolean>, kept_slots array<string>"
     return benchmark.select("item_id", "text").mapInArrow(run, schema)
 
 
 def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
-    """doc_id and WINDOW_SCHEMA; with ``held`` (sorted hashes) only windows that are among them."""
+    """doc_id and WINDOW_SCHEMA; with ``held`` (sorted hashes, table of leads) only windows that are among them."""
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches) -> Iterator:
@@ -273,12 +303,12 @@ def document_windows(docs: DataFrame, widths: list[int], held) -> DataFrame:
                 every = forms(code, kind, plain, starts)
                 # An item's first word has its capital at the start of a sentence; put into a sentence it looks like a name.
                 turns = [(form, None) for form in every] + ([(every[0], plain[every[0].edge[1:] - 1])] if (kind == CAPITAL).any() else [])
+                known, lead = held.value if held is not None else (None, None)
                 for width in widths:
                     for form, first in turns:
-                        at, value = windows(form, width, first)
+                        at, value = windows(form, width, first, lead)
                         skip = 0 if first is None else 1
                         if held is not None and len(at):
-                            known = held.value
                             hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value if len(known) else np.zeros(len(at), dtype=bool)
                             at, value = at[hit], value[hit]
                         if len(at) and content is None:
@@ -310,16 +340,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     held = None
     if is_under(items, HELD_WINDOWS):
-        held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], dtype=np.int64)))
+        known = items.select("window", "lead").distinct().toArrow()
+        lead = np.zeros(LEADS, dtype=bool)
+        lead[known["lead"].to_numpy()] = True
+        held = docs.sparkSession.sparkContext.broadcast((np.unique(known["window"].to_numpy()), lead))
     found = document_windows(docs, widths, held)
-    met = items.hint("broadcast") if held is not None else items
     pair = ["doc_id", "content", "item_id", "item_words"]
     # Slots that stand as plain words on both sides keep their value. A name beside the item runs into the slot at its edge, which then says nothing.
     size_of = lambda v: F.size(F.split(v, " "))
     zipped = F.filter(F.arrays_zip("item_slots", "slots", "at_edge"), lambda p: ~p["at_edge"] | (size_of(p["item_slots"]) == size_of(p["slots"])))
     as_pair = lambda a, b: F.struct(a.alias("item_slots"), b.alias("slots"))
     pairs = F.concat(F.transform(zipped, lambda p: as_pair(p["item_slots"], p["slots"])), F.transform("kept_slots", lambda v: as_pair(v, v)))
-    hits = found.join(met, "window").where(F.size("slots") == F.size("item_slots")).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    hits = found.join(items.drop("lead"), "window").where(F.size("slots") == F.size("item_slots")).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     hits = written(hits.select(*pair, "diagonal", "item_pos", "item_end", pairs.alias("pairs")).dropDuplicates(), "item-hits")
     # Diagonals near each other are judged together, and each on its own too.
     along = Window.partitionBy(*pair).orderBy("diagonal")
