@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import set_digest
 from tidemark.functions.scalar import first_reason, is_sha256, local_date, local_day_start, percent_change, uuid_from_hex
 from tidemark.operators.calendar import CLOSED
+from tidemark.operators.digests import member_text, ordered_digest
 from tidemark.operators.pit import instant
 from tidemark.operators.scan import asof_lookup
 from tidemark.operators.screener import SHORTLIST
@@ -147,21 +147,19 @@ def materialize_outcomes(cells: DataFrame, stored: DataFrame) -> tuple[DataFrame
     return new, conflicts
 
 
-def capture_decision(rows: DataFrame, requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def capture_decision(rows: DataFrame, requests: DataFrame, existing: DataFrame, order: str = "instrument_id") -> tuple[DataFrame, DataFrame]:
     """Headers (with digests and a disposition per request) and the rows to append.
 
     ``rows``: request_id plus the screening row. ``requests``: request_id, intent, through, cutoff.
-    A request seen before with the same intent is REPLAYED, with another intent CONFLICT.
+    Rows are digested in ``order``. A request seen before with the same intent is REPLAYED, with another intent CONFLICT.
     """
-    fields = [c for c in rows.columns if c != "request_id"]
-    digest = rows.groupBy("request_id").agg(
-        F.count("*").alias("row_count"), set_digest(F.to_json(F.struct(*fields))).alias("selected_digest"))
+    digest = ordered_digest(rows, ["request_id"], [order], name="selected_digest").withColumnRenamed("members", "row_count")
     seen = existing.select("request_id", F.col("intent").alias("__intent"))
     head = requests.join(digest, "request_id", "left").join(seen, "request_id", "left")
     disposition = F.when(F.col("__intent").isNull(), F.lit("CAPTURED")).when(F.col("__intent") == F.col("intent"), F.lit("REPLAYED")).otherwise(F.lit("CONFLICT"))
     headers = head.select(
         *requests.columns, F.coalesce("row_count", F.lit(0)).alias("row_count"), "selected_digest",
-        F.sha2(F.to_json(F.struct(*requests.columns, "selected_digest")), 256).alias("input_hash"), disposition.alias("disposition"))
+        F.sha2(member_text([*requests.columns, "selected_digest"]), 256).alias("input_hash"), disposition.alias("disposition"))
     fresh = headers.where("disposition = 'CAPTURED'").select("request_id")
     return headers, rows.join(fresh, "request_id", "left_semi")
 
@@ -243,22 +241,6 @@ def verify_outcomes(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     return x.select(*key, verdict.alias("verdict"), F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
 
 
-def dataset_id(observations: DataFrame, query_text: Column) -> DataFrame:
-    """Digest of a research dataset: the query text and the set of its observations.
-
-    Members are digested row by row and combined by sums, so the digest is independent of order and
-    partitioning and no task holds the dataset.
-    """
-    body = observations.agg(set_digest(F.to_json(F.struct(*sorted(observations.columns)))).alias("__members"), F.count("*").alias("observations"))
-    return body.select(F.sha2(F.concat_ws("|", query_text, F.col("__members")), 256).alias("dataset_id"), "observations")
-
-
-def input_digest(selection: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Digest per request of exactly what was selected for it."""
-    fields = sorted(c for c in selection.columns if c not in keys)
-    return selection.groupBy(*keys).agg(set_digest(F.to_json(F.struct(*fields))).alias("input_digest"), F.count("*").alias("inputs"))
-
-
 def enroll(candidates: DataFrame) -> DataFrame:
     """Enrollment of promoted candidates: known before the local midnight that ends their session, else late.
 

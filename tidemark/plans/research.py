@@ -209,15 +209,6 @@ def _sm19(spark, sf):
     return new.select(*key, F.lit("APPEND").alias("action")).unionByName(clash.select(*key, F.lit("HORIZON_ALIGNMENT_CONFLICT").alias("action")))
 
 
-@query("sm21_capture_decision")
-def _sm21(spark, sf):
-    rows = table(spark, sf, "decision_rows").withColumnRenamed("run_id", "request_id")
-    runs = table(spark, sf, "decision_runs")
-    requests = runs.select(F.col("run_id").alias("request_id"), F.col("market_trend").alias("intent"), "through", F.col("knowledge_cutoff").alias("cutoff"))
-    existing = runs.where("market_volatility = 'NORMAL'").select(F.col("run_id").alias("request_id"), F.when(F.col("universe_snapshot_id").isNull(), "OTHER").otherwise(F.col("market_trend")).alias("intent"))
-    return oc.capture_decision(rows, requests, existing)[0]
-
-
 TEXT["snapshot_rows"] = """
 SELECT r.run_id, r.instrument_id, r.configured, r.held, CASE WHEN u.portfolio_id IS NULL THEN CASE WHEN q = 50 THEN 1 END WHEN held THEN CASE WHEN q = 49 THEN 0 ELSE q END ELSE 0 END AS shares, CASE WHEN held AND q <> 48 THEN 10.0 END AS average_cost,
  CASE WHEN r.setup IN ('WATCH', 'CONFIRMED') AND configured THEN row_number() OVER (PARTITION BY r.run_id, r.setup IN ('WATCH', 'CONFIRMED') AND configured ORDER BY r.instrument_id) END AS discovery_rank,
@@ -297,17 +288,6 @@ def _sm24(spark, sf):
     return oc.verify_outcomes(table(spark, sf, "outcome_full"), table(spark, sf, "outcome_replay")).withColumn("fields", F.array_join("fields", ","))
 
 
-@query("sm25_dataset_id")
-def _sm25(spark, sf):
-    x = cells(spark, sf).select("run_id", "instrument_id", "cohort", "partition", "state", "price_return_pct", "episode_id", "market_date", "close")
-    return oc.dataset_id(x, F.lit(f"1995-01-01|2001-12-31|{CUT}|5|ALL|MEMBERSHIP"))
-
-
-@query("sm27_input_digest")
-def _sm27(spark, sf):
-    return oc.input_digest(table(spark, sf, "links").select("run_id", "instrument_id", "session_date", "revision_number"), ["run_id"])
-
-
 TEXT["bar_links"] = """
 SELECT concat('R', CAST(order_key AS VARCHAR(12))) AS run_id, concat('S', CAST(supp_key AS VARCHAR(12))) AS instrument_id, o_day - CAST(line AS INTEGER) + CASE WHEN qty = 50 AND tax = 1 THEN 9 ELSE 0 END AS session_date, CASE WHEN qty = 49 AND tax = 1 THEN 0 ELSE seq END AS revision_number,
  CAST(o_day AS TIMESTAMP) + CASE WHEN qty = 48 AND tax = 2 THEN INTERVAL '30' HOUR ELSE INTERVAL '5' HOUR END AS known_at, CASE WHEN qty = 47 AND tax = 1 THEN 'xyz' ELSE concat(md5(CAST(qty AS VARCHAR(8))), md5(flag)) END AS content_hash
