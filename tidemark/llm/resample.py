@@ -110,8 +110,7 @@ def frequent_cells(docs: DataFrame, least: float):
         for _, lists in _gathered(batches, numbers):
             every = np.concatenate(lists)
             for row in range(DEPTH):
-                cells, times = np.unique(_cell(every, row), return_counts=True)
-                table[row * CELLS + cells] += times.astype(np.uint32)
+                table[row * CELLS : (row + 1) * CELLS] += np.bincount(_cell(every, row), minlength=CELLS).astype(np.uint32)
         segments = table.reshape(-1, SEGMENT)
         for i in np.flatnonzero(segments.any(axis=1)):
             part = segments[i].astype(np.uint8) if segments[i].max() < 256 else segments[i]
@@ -158,8 +157,10 @@ def feature_counts(docs: DataFrame, target: list, bits=None) -> DataFrame:
                 kept = (wanted[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
                 every, own = every[kept], own[kept]
             if len(every):
-                feature, place, raw = np.unique(every, return_inverse=True, return_counts=True)
-                mine = np.bincount(place, weights=own, minlength=len(feature)).astype(np.int64)
+                feature, raw = np.unique(every, return_counts=True)
+                seen, times = np.unique(every[own], return_counts=True)
+                mine = np.zeros(len(feature), dtype=np.int64)
+                mine[np.searchsorted(feature, seen)] = times
                 yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(raw.astype(np.int64)), pa.array(mine)], names=["feature", "raw", "target"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -232,9 +233,13 @@ def importance(docs: DataFrame, model) -> DataFrame:
         import xxhash
 
         numbers, (known, logs) = _Numbers(), held.value
+        # Most features are not in the model; a look at their cell says so.
+        marked = np.zeros(CELLS, dtype=bool)
+        marked[_cell(known, 0)] = True
 
         def ratio(features) -> float:
-            if not len(known) or not len(features):
+            features = features[marked[_cell(features, 0)]]
+            if not len(features):
                 return 0.0
             at = np.minimum(np.searchsorted(known, features), len(known) - 1)
             return float(logs[at[known[at] == features]].sum())
