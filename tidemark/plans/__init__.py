@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("market", "calendar_days", "technical", "health", "screening", "portfolio", "research", "replays", "evidence", "execution", "fundamental", "ingest", "scalar", "streams")
+FAMILIES = ("market", "calendar_days", "technical", "health", "screening", "portfolio", "research", "replays", "evidence", "binding", "execution", "fundamental", "ingest", "scalar", "streams")
 
 
 def load_all() -> None:
