@@ -101,3 +101,12 @@ def test_values_and_identities(bound):
     assert json.loads(bound["good Currency"]["value"]) == {"currencyCode": "IDR"} and bound["cancel"]["value"] is None and bound["cancel"]["operation"] == "CANCEL"
     assert bound["good Currency"]["identifier"] == '["Currency"]' and bound["good SourcePriceConvention"]["identifier"] == '["SourcePriceConvention","p","e","f"]' and bound["good CorporateAction"]["identifier"] == '["CorporateAction","e"]'
     assert bound["currency"]["value"] is None and bound["currency"]["identifier"] is None
+
+
+def test_premises_are_read_from_payloads(spark):
+    df = spark.createDataFrame([r for n, r, _, _ in CASES if n.startswith(("good", "coverage", "cancel", "prices"))], SCHEMA).withColumnRenamed("id", "evidence_id")
+    df = df.withColumn("series", F.col("claim")).withColumn("revision", F.when(F.col("evidence_id") == "cancel", 2).otherwise(1).cast("long"))
+    edges = {(r["evidence_id"], r["premise_id"], r["role"], r["expected_claim"]) for r in cl.premise_edges(cl.bind_evidence(df)).collect()}
+    assert edges == {
+        ("good GenuinePriceObservation", ID, "conventionEvidenceId", "SourcePriceConvention"), ("good GenuinePriceObservation", ID, "completedSessionEvidenceId", "CompletedSession"), ("good Reopening", ID, "suspensionEvidenceId", "Suspension"),
+        ("coverage", ID, "eventEvidenceIds", "CorporateAction"), ("coverage", OTHER_ID, "eventEvidenceIds", "CorporateAction"), ("cancel", "good Suspension", "cancelledRevision", "Suspension")}

@@ -251,3 +251,33 @@ def bind_evidence(records: DataFrame) -> DataFrame:
         "rule": F.when(F.col("decode_reason") == MALFORMED, F.col("rule")), "operation": F.when(ok, F.col("operation")), "completeness": F.when(ok, F.col("completeness")),
         "value": F.when(ok & (F.col("__value") != "VOID"), F.to_json(F.try_variant_get(root, "$.value", "variant"))), "identifier": F.when(ok & (F.col("__value") != "VOID"), F.to_json(F.concat(F.array("claim"), identity))),
     }).drop("__root", "__value", "__claim")
+
+
+# Claim and member that names another record, and the claim that record must assert.
+PREMISES = (
+    ("GenuinePriceObservation", "conventionEvidenceId", "SourcePriceConvention"), ("GenuinePriceObservation", "completedSessionEvidenceId", "CompletedSession"),
+    ("Reopening", "suspensionEvidenceId", "Suspension"), ("CorporateAction", "eventEvidenceIds", "CorporateAction"),
+)
+
+
+def premise_edges(bound: DataFrame) -> DataFrame:
+    """(evidence_id, premise_id, role, expected_claim): what each bound record rests on, as its payload says.
+
+    ``bound`` comes from ``bind_evidence`` and has evidence_id. A cancellation rests on the revision of its series that it
+    names; that it is missing shows as a null premise. Records that do not bind have no premises.
+    """
+    value = F.try_parse_json("value")
+
+    def premises(claim: str, member: str, expected: str) -> Column:
+        path = f"$.{member}"
+        ids = F.try_variant_get(value, path, "array<string>") if member.endswith("Ids") else F.array(F.try_variant_get(value, path, "string"))
+        return F.when(F.col("claim") == claim, F.transform(ids, lambda x: F.struct(x.alias("premise_id"), F.lit(member).alias("role"), F.lit(expected).alias("expected_claim"))))
+
+    named = [premises(*p) for p in PREMISES]
+    kind = "array<struct<premise_id string, role string, expected_claim string>>"
+    none = F.array().cast(kind)
+    able = bound.where(F.col("decode_reason").isNull())
+    stated = able.where("operation = 'ASSERT'").select("evidence_id", F.explode(F.filter(F.concat(*[F.coalesce(x.cast(kind), none) for x in named]), lambda e: e["premise_id"].isNotNull())).alias("e")).select("evidence_id", "e.*")
+    targets = bound.select("series", F.col("revision").alias("supersedes_revision"), F.col("evidence_id").alias("premise_id"))
+    cancels = able.where("operation = 'CANCEL'").join(targets, ["series", "supersedes_revision"], "left")
+    return stated.unionByName(cancels.select("evidence_id", "premise_id", F.lit("cancelledRevision").alias("role"), F.col("claim").alias("expected_claim")))

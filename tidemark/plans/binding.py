@@ -34,3 +34,26 @@ SELECT evidence_id, decode_reason, CASE WHEN decode_reason = 'PERSISTED_EVIDENCE
 def _bind(spark, sf):
     """What each record's payload says, or the first rule of its claim that it breaks."""
     return cl.bind_evidence(table(spark, sf, "claim_records")).select("evidence_id", "decode_reason", "rule", "identifier")
+
+
+def uuid_sql(n: str) -> str:
+    return f"concat('00000000-0000-0000-0000-', lpad(CAST({n} AS VARCHAR(12)), 12, '0'))"
+
+
+TEXT["premise_records"] = f"""
+SELECT {uuid_sql('n')} AS evidence_id, CASE k % 4 WHEN 0 THEN 'Reopening' WHEN 1 THEN 'CorporateAction' ELSE 'Suspension' END AS claim, 1 AS payload_version, true AS policy_supported, CASE k % 4 WHEN 1 THEN 'PointObservation' ELSE 'ContinuingState' END AS evidence_class, 'INSTRUMENT' AS scope_kind, 0 AS tier,
+ effective_from, CASE WHEN k % 4 = 1 THEN effective_from ELSE effective_to END AS effective_to, known_at, retrieved_at, 'a' AS raw_artifact_id, concat('Z', CAST(n % 50 AS VARCHAR(4))) AS series, n AS revision, CASE WHEN k % 9 = 0 THEN n - 50 WHEN k % 9 = 1 THEN n - 51 END AS supersedes_revision,
+ CASE WHEN k % 4 >= 2 AND k % 9 < 2 THEN '{{"operation":"CANCEL","completeness":"FULL","value":null}}' ELSE concat('{{"operation":"ASSERT","completeness":"FULL","value":', CASE k % 4
+  WHEN 0 THEN concat('{{"reopeningId":"r","status":"TRADING","reopeningDate":"', CAST(effective_from AS VARCHAR(10)), '","suspensionEvidenceId":"', {uuid_sql('n + 2')}, '"}}')
+  WHEN 1 THEN concat('{{"kind":"COVERAGE","coverageId":"c","coverage":"COMPLETE","eventEvidenceIds":[', CASE WHEN k % 8 = 1 THEN '' ELSE concat('"', {uuid_sql('n + 4')}, '","', {uuid_sql('n + 8')}, '"') END, ']}}') ELSE '{{"status":"SUSPENDED","noticeId":"n"}}' END, '}}') END AS payload
+FROM (SELECT e.*, CAST(substr(evidence_id, 2) AS BIGINT) + 1 AS n FROM {{{{evidence}}}} e) x"""
+
+
+@query("jn7_payload_edges", f"""
+WITH r AS (SELECT *, payload->>'$.operation' = 'CANCEL' AS cancel FROM {{{{premise_records}}}}), ok AS (SELECT * FROM r WHERE NOT cancel OR supersedes_revision < revision)
+SELECT evidence_id, payload->>'$.value.suspensionEvidenceId' AS premise_id, 'suspensionEvidenceId' AS role, 'Suspension' AS expected_claim FROM ok WHERE claim = 'Reopening'
+UNION ALL SELECT evidence_id, unnest(CAST(payload->'$.value.eventEvidenceIds' AS VARCHAR[])), 'eventEvidenceIds', 'CorporateAction' FROM ok WHERE claim = 'CorporateAction'
+UNION ALL SELECT a.evidence_id, b.evidence_id, 'cancelledRevision', a.claim FROM ok a LEFT JOIN r b ON b.series = a.series AND b.revision = a.supersedes_revision WHERE a.cancel""")
+def _edges(spark, sf):
+    """What each record rests on, as its payload says."""
+    return cl.premise_edges(cl.bind_evidence(table(spark, sf, "premise_records")))
