@@ -110,7 +110,7 @@ def frequent_cells(docs: DataFrame, least: float):
         for _, lists in _gathered(batches, numbers):
             every = np.concatenate(lists)
             for row in range(DEPTH):
-                table[row * CELLS : (row + 1) * CELLS] += np.bincount(_cell(every, row), minlength=CELLS).astype(np.uint32)
+                np.add.at(table[row * CELLS : (row + 1) * CELLS], _cell(every, row), np.uint32(1))
         segments = table.reshape(-1, SEGMENT)
         for i in np.flatnonzero(segments.any(axis=1)):
             part = segments[i].astype(np.uint8) if segments[i].max() < 256 else segments[i]
