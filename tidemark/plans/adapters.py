@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -156,17 +157,28 @@ def spell(text: str, engine: str) -> str:
     return text
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a derived domain table."""
+def table(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A driver table or a derived domain table; ``given`` tables stand for those of their name."""
+    if name in given:
+        return given[name]
     if name in DRIVER_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = TEXT[name]
-    inputs = {n: table(spark, sf_dir, n) for n in sorted(set(TABLE_PATTERN.findall(text)))}
+    inputs = {n: table(spark, sf_dir, n, **given) for n in sorted(set(TABLE_PATTERN.findall(text)))}
     # Braces that are not table names are literal text to the formatter.
     marked = TABLE_PATTERN.sub("\x00\\1\x01", spell(text, "spark")).replace("{", "{{").replace("}", "}}")
     return spark.sql(marked.replace("\x00", "{").replace("\x01", "}"), **inputs)
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``key`` as a struct of itself (id) and of its occurrence (n), so that rows that share a key stay apart.
+
+    Occurrences follow the rows' whole content; rows that tie in it are equal, so every evaluation numbers alike.
+    """
+    occurrence = F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in df.columns if c != key]))
+    return df.withColumn("__n", occurrence).withColumn(key, F.struct(F.col(key).alias("id"), F.col("__n").alias("n"))).drop("__n")
+
+
 def _needed(text: str, found: dict[str, str]) -> None:
     for name in sorted(set(TABLE_PATTERN.findall(text))):
         if name not in DRIVER_TABLES and name not in found:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import fundamentals as fu
-from tidemark.plans.adapters import TEXT, table
+from tidemark.plans.adapters import TEXT, numbered, table
 from tidemark.plans.registry import query
 
 TEXT["amounts"] = "SELECT seq AS row_id, CAST(px AS VARCHAR(40)) AS amount, CASE WHEN qty = 1 THEN 29 WHEN qty = 2 THEN -25 ELSE CAST(disc AS INTEGER) - 5 END AS scale_power, CASE WHEN tax < 4 THEN 'NEGATE' ELSE 'KEEP' END AS sign FROM {{trades}}"
@@ -88,7 +88,8 @@ TEXT["fact_other"] = "SELECT pair_id, subject_id, CASE WHEN qty = 1 THEN 'NetInc
 
 @query("sm10_comparable_facts", "SELECT pair_id, CASE WHEN qty <= 3 OR audit_status = 'UNKNOWN' THEN 'FUNDAMENTAL_INCOMPARABLE' END AS diagnostic FROM {{fact_sides}}")
 def _sm10(spark, sf):
-    return fu.comparable_facts(table(spark, sf, "fact_sides"), table(spark, sf, "fact_other"))
+    sides = numbered(table(spark, sf, "fact_sides"), "pair_id")
+    return fu.comparable_facts(sides, table(spark, sf, "fact_other", fact_sides=sides)).withColumn("pair_id", F.col("pair_id.id"))
 
 
 @query("prj21_validate_fundamentals")
