@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as ev
-from tidemark.plans.adapters import TEXT, table
+from tidemark.plans.adapters import TEXT, numbered, table
 from tidemark.plans.registry import query
 
 K = "CAST(substr(props, 7, length(props) - 7) AS INTEGER)"
@@ -154,19 +154,19 @@ SELECT request_id, mr IS NULL AND pr = '' AND fr IS NULL AS data_ready, array_to
 
 @query("prj20_data_readiness", READY)
 def _prj20(spark, sf):
-    c = table(spark, sf, "conditions")
-    core = table(spark, sf, "observations").where("feature not like 'Rs%'")
+    c = numbered(table(spark, sf, "conditions"), "request_id")
+    core = table(spark, sf, "observations", conditions=c).where("feature not like 'Rs%'")
     packed = ev.feature_readiness(core).groupBy("request_id").agg(F.collect_list(F.struct("availability", "reason")).alias("core"))
     x = ev.price_comparability(ev.market_eligibility(c)).join(packed, "request_id")
-    return ev.data_readiness(x).select("request_id", "data_ready", F.array_join("reasons", ",").alias("reasons"))
+    return ev.data_readiness(x).select(F.col("request_id.id").alias("request_id"), "data_ready", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("sm15_readiness", READY)
 def _sm15(spark, sf):
-    c = table(spark, sf, "conditions")
+    c = numbered(table(spark, sf, "conditions"), "request_id")
     market = c.select("request_id", "identity_conflict", "identity_verified", "type_unsupported", "type_known", "pre_listing", "post_delisting", "listing_known", "board_conflict", "mechanism_unresolved", "board_known", "board_unsupported", "mechanism_known", "status", "status_quality", "session_completed")
     spans = c.select("request_id", "identity_continuity", "currency_continuity", "convention_continuity", "session_continuity", "action_coverage", "revision_binding", "known_breaks")
-    return ev.readiness(market, spans, table(spark, sf, "observations")).select("request_id", "data_ready", F.array_join("reasons", ",").alias("reasons"))
+    return ev.readiness(market, spans, table(spark, sf, "observations", conditions=c)).select(F.col("request_id.id").alias("request_id"), "data_ready", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("prj10_usage_decisions", """
