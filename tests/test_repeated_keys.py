@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SOURCE = "/root/testdata/sf0.001"
-NAMES = ("prj17_decide_eligibility", "prj20_data_readiness", "sm10_comparable_facts")
+NAMES = ("prj17_decide_eligibility", "prj20_data_readiness", "sm10_comparable_facts", "sm15_readiness")
 
 
 @pytest.fixture(scope="module")
