@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import set_digest
@@ -49,33 +49,42 @@ def write_documents(documents: DataFrame, root: str) -> DataFrame:
     return documents.select("name", "body").mapInArrow(write, "name string")
 
 
+PROVIDER_ROW = "struct<date string, " + ", ".join(f"{p} variant" for p in PRICES) + ", volume variant>"
+
+
+def variant_number(c: Column) -> Column:
+    return F.try_variant_get(c, "$", "decimal(38,10)")
+
+
+def provider_row_reason(date_text: Column, member, twice: Column) -> Column:
+    """Why one provider row is rejected, else null. ``member(name)`` is the row's variant of that name, ``twice`` whether its date repeats."""
+    number = lambda c: F.coalesce(F.schema_of_variant(c).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    day, volume = F.try_to_date(date_text, "yyyy-MM-dd"), member("volume")
+    missing = date_text.isNull() | volume.isNull()
+    wrong, low_price = F.lit(False), F.lit(False)
+    for p in PRICES:
+        missing = missing | member(p).isNull()
+        wrong = wrong | ~number(member(p))
+        low_price = low_price | F.coalesce(variant_number(member(p)) <= 0, F.lit(True))
+    o, h, low, c = (variant_number(member(p)) for p in PRICES[:4])
+    whole = F.coalesce(F.schema_of_variant(volume) == "BIGINT", F.lit(False)) & F.coalesce(F.try_variant_get(volume, "$", "bigint") >= 0, F.lit(False))
+    return first_reason(
+        (missing, "MISSING_FIELD"), (day.isNull() | (F.length(date_text) != 10), "BAD_DATE"), (twice, "DUPLICATE_DATE"), (wrong, "PRICE_NOT_NUMBER"), (low_price, "PRICE_NOT_POSITIVE"),
+        (~((low <= F.least(o, c)) & (F.greatest(o, c) <= h)), "BROKEN_BOUNDS"), (~whole, "BAD_VOLUME"), (~day.between(F.col("from_date"), F.col("to_date")), "OUTSIDE_WINDOW"))
+
+
 def parse_provider_payloads(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars and rejects from JSON row arrays. ``responses``: response_id, payload, from_date, to_date.
 
     A row is rejected for a missing member, a bad or repeated date, a price that is not a positive
     number, broken bounds, a bad volume, or a date outside the requested window.
     """
-    row = "struct<date string, " + ", ".join(f"{p} variant" for p in PRICES) + ", volume variant>"
-    rows = responses.select("response_id", "from_date", "to_date", F.explode(F.from_json("payload", f"array<{row}>")).alias("r"))
-    number = lambda c: F.coalesce(F.schema_of_variant(c).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
-    text = lambda c: F.try_variant_get(c, "$", "decimal(38,10)")
+    rows = responses.select("response_id", "from_date", "to_date", F.explode(F.from_json("payload", f"array<{PROVIDER_ROW}>")).alias("r"))
     x = rows.select("response_id", "from_date", "to_date", F.col("r.date").alias("date_text"), *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
-    twice = x.groupBy("response_id", "date_text").agg(F.count("*").alias("__n"))
-    x = x.join(twice, ["response_id", "date_text"], "left")
-    day = F.try_to_date("date_text", "yyyy-MM-dd")
-    missing = F.col("date_text").isNull() | F.col("volume").isNull()
-    wrong, low_price = F.lit(False), F.lit(False)
-    for p in PRICES:
-        missing = missing | F.col(p).isNull()
-        wrong = wrong | ~number(F.col(p))
-        low_price = low_price | F.coalesce(text(F.col(p)) <= 0, F.lit(True))
-    o, h, low, c = (text(F.col(p)) for p in PRICES[:4])
-    whole = F.coalesce(F.schema_of_variant("volume") == "BIGINT", F.lit(False)) & F.coalesce(F.try_variant_get("volume", "$", "bigint") >= 0, F.lit(False))
-    reason = first_reason(
-        (missing, "MISSING_FIELD"), (day.isNull() | (F.length("date_text") != 10), "BAD_DATE"), (F.col("__n") > 1, "DUPLICATE_DATE"), (wrong, "PRICE_NOT_NUMBER"), (low_price, "PRICE_NOT_POSITIVE"),
-        (~((low <= F.least(o, c)) & (F.greatest(o, c) <= h)), "BROKEN_BOUNDS"), (~whole, "BAD_VOLUME"), (~day.between(F.col("from_date"), F.col("to_date")), "OUTSIDE_WINDOW"))
-    x = x.withColumn("reason", reason)
-    bars = x.where("reason is null").select("response_id", day.alias("session_date"), *[text(F.col(p)).alias(p) for p in PRICES], F.try_variant_get("volume", "$", "bigint").alias("volume"))
+    twice = F.count("*").over(Window.partitionBy("response_id", "date_text")) > 1
+    x = x.withColumn("__twice", twice)
+    x = x.withColumn("reason", provider_row_reason(F.col("date_text"), F.col, F.col("__twice"))).drop("__twice")
+    bars = x.where("reason is null").select("response_id", F.try_to_date("date_text", "yyyy-MM-dd").alias("session_date"), *[variant_number(F.col(p)).alias(p) for p in PRICES], F.try_variant_get("volume", "$", "bigint").alias("volume"))
     return bars, x.where("reason is not null").select("response_id", "date_text", "reason")
 
 
@@ -269,17 +278,22 @@ def consolidate_holdings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def experiment_records(responses: DataFrame) -> DataFrame:
     """HTTP outcome, row count, validity, classification and prices per response.
 
-    ``responses``: response_id, http_status, failure_class, payload, requested_date.
+    ``responses``: response_id, http_status, failure_class, payload, requested_date. Only a response of one row can be
+    valid, so each is judged where it stands: nothing is shuffled, and responses that share an id stay apart.
     """
-    body = F.try_parse_json("payload")
-    rows = F.coalesce(F.json_array_length("payload"), F.lit(0))
-    bars, _ = parse_provider_payloads(responses.select("response_id", "payload", F.col("requested_date").alias("from_date"), F.col("requested_date").alias("to_date")))
-    first = F.lower(F.coalesce(F.get_json_object("payload", "$[0].warning"), F.get_json_object("payload", "$[0].error"), F.get_json_object("payload", "$[0].message"), F.get_json_object("payload", "$.warning"), F.get_json_object("payload", "$.error"), F.get_json_object("payload", "$.message")))
-    x = responses.join(bars, "response_id", "left")
-    base = F.when(F.coalesce(F.col("http_status") != 200, F.lit(True)), F.coalesce("failure_class", F.lit("HTTP_ERROR"))).when(body.isNotNull() & first.isNotNull(), F.lit("PROVIDER_WARNING_OR_ERROR"))
-    valid = base.isNull() & (rows == 1) & F.col("session_date").isNotNull()
-    return x.select("response_id", F.coalesce(F.concat(F.lit("HTTP_"), F.col("http_status").cast("string")), "failure_class").alias("http_outcome"), rows.alias("row_count"), F.coalesce(valid, F.lit(False)).alias("payload_valid"),
-                    F.coalesce(base, F.when(~F.coalesce(valid, F.lit(False)), F.lit("MALFORMED_OR_UNEXPECTED_EOD"))).alias("classification"), F.when(valid, F.col("close")).alias("close"), F.when(valid, F.col("volume")).alias("volume"))
+    message = F.coalesce(*[F.try_variant_get("__body", f"{at}.{name}", "string") for at in ("$[0]", "$") for name in ("warning", "error", "message")])
+    x = responses.select(
+        "response_id", "http_status", "failure_class", F.col("requested_date").alias("from_date"), F.col("requested_date").alias("to_date"), F.coalesce(F.json_array_length("payload"), F.lit(0)).alias("row_count"),
+        F.try_parse_json("payload").alias("__body"), F.get(F.from_json("payload", f"array<{PROVIDER_ROW}>"), F.lit(0)).alias("__r"))
+    text, member = F.col("__r.date"), lambda name: F.col(f"__r.{name}")
+    base = F.when(F.coalesce(F.col("http_status") != 200, F.lit(True)), F.coalesce("failure_class", F.lit("HTTP_ERROR"))).when(message.isNotNull(), F.lit("PROVIDER_WARNING_OR_ERROR"))
+    x = x.withColumn("__base", base)
+    # The reason is null for an accepted row only: one without members is MISSING_FIELD.
+    x = x.withColumn("payload_valid", F.col("__base").isNull() & (F.col("row_count") == 1) & provider_row_reason(text, member, F.lit(False)).isNull())
+    valid = F.col("payload_valid")
+    return x.select("response_id", F.coalesce(F.concat(F.lit("HTTP_"), F.col("http_status").cast("string")), "failure_class").alias("http_outcome"), "row_count", "payload_valid",
+                    F.coalesce("__base", F.when(~valid, F.lit("MALFORMED_OR_UNEXPECTED_EOD"))).alias("classification"), F.when(valid, variant_number(member("close"))).alias("close"),
+                    F.when(valid, F.try_variant_get(member("volume"), "$", "bigint")).alias("volume"))
 
 
 def operations_summary(requests: DataFrame, runs: DataFrame, required: int) -> DataFrame:
