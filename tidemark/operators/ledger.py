@@ -383,10 +383,19 @@ def reconcile(pos: DataFrame, expected: DataFrame, cash: DataFrame) -> tuple[Dat
 
 
 def number_events(events: DataFrame) -> DataFrame:
-    """Renumbers each portfolio's events 1..n in (order, id) order, as an export does."""
-    x = events.withColumn("__month", F.trunc(F.to_date("known_at"), "month"))
-    ordered = prefix_scan(x, ["portfolio_id"], ("event_order", "event_id"), F.floor(F.col("event_order") / F.lit(10**12)), {"__before": ("sum", F.lit(1).cast("long"))})
-    return ordered.withColumn("event_order", F.coalesce("__before", F.lit(0)) + 1).drop("__before", "__month")
+    """Renumbers each portfolio's events 1..n in (order, id) order, as an export does.
+
+    Portfolios of ordinary length are shuffled once and numbered in place; long ones are numbered by blocks.
+    """
+    order, block, specs = ("event_order", "event_id"), F.floor(F.col("event_order") / F.lit(10**12)), {"__before": ("sum", F.lit(1).cast("long"))}
+    long = cut_lineage(events.groupBy("portfolio_id").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("portfolio_id"))
+    if long.isEmpty():
+        ordered = window_scan(events, ["portfolio_id"], order, block, specs)
+    else:
+        names = F.broadcast(long)  # at most one a million events
+        short, rest = events.join(names, "portfolio_id", "left_anti"), events.join(names, "portfolio_id", "left_semi")
+        ordered = window_scan(short, ["portfolio_id"], order, block, specs).unionByName(prefix_scan(rest, ["portfolio_id"], order, block, specs))
+    return ordered.withColumn("event_order", F.coalesce("__before", F.lit(0)) + 1).drop("__before")
 
 
 def reference_closure(events: DataFrame, instruments: DataFrame) -> DataFrame:

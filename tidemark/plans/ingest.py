@@ -183,7 +183,7 @@ def _src13(spark, sf):
     """Renumbers, writes the documents as JSON rows and reads them back."""
     root = fs.workspace(spark)
     out = lg.number_events(table(spark, sf, "ledger_events"))
-    out.write.json(f"{root}/portfolio")
+    out.write.option("compression", "gzip").json(f"{root}/portfolio")
     return spark.read.schema("portfolio_id string, event_id string, event_order long").json(f"{root}/portfolio")
 
 
