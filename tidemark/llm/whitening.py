@@ -61,6 +61,11 @@ def above(band: tuple, shift: float) -> int:
     return count
 
 
+def rounding_level(matrix) -> float:
+    """What an eigenvalue must be above to count."""
+    return float(abs(matrix).sum(axis=1).max()) * 1e-12
+
+
 def bracket(band: tuple, rank: int, low: float, high: float, width: float) -> tuple[float, float]:
     """An interval as narrow as ``width`` with the rank-th largest eigenvalue."""
     while high - low > width:
@@ -79,7 +84,7 @@ def intervals(matrix, wanted: int, per: int = PER_INTERVAL) -> tuple[list[tuple[
     band = tridiagonal(matrix)
     radius = float(abs(matrix).sum(axis=1).max())
     top = radius * (1 + 1e-9)
-    rank, n, least = above(band, radius * 1e-12), len(matrix), radius * 1e-6
+    rank, n, least = above(band, rounding_level(matrix)), len(matrix), radius * 1e-6
     wanted = min(wanted, rank)
     place = lambda j: sum(bracket(band, j, -top, top, radius * 1e-7)) / 2 if 1 <= j <= n else math.copysign(math.inf, 1 - j)
     out, taken, first, before = [], 0, place(1), math.inf
@@ -184,7 +189,8 @@ def leading(matrix, wanted: int, run: Callable, rounds: int = ROUNDS):
     for low, _, _ in spans:
         if above(band, low) != (values > low).sum():
             raise ArithmeticError("eigenvalues are missing")
-    keep = min(wanted, len(values))
+    # The last interval may enclose eigenvalues at rounding level; those are no components.
+    keep = min(wanted, above(band, rounding_level(matrix)), len(values))
     return values[:keep], vectors[:, :keep]
 
 
