@@ -63,3 +63,23 @@ def test_odd_and_empty_documents_pass_all_stages(spark, odd, none):
         assert cp.mix(spark, docs, SF).count() == docs.count()
     one = cp.near_copies(spark, odd.select(columns), SF)
     assert one.where("doc_id = 9").count() == 1 and one.where("doc_id = 10").count() == 0
+
+
+def test_stages_get_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(spark, docs, sf_dir):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["rows"])
+
+        return docs.mapInArrow(run, "rows long")
+
+    spark.range(3000, numPartitions=1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(cp, "STAGES", [("sizes", cp.small_batches(sizes))])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        rows = [r["rows"] for r in cp.run(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(rows) == 3000 and max(rows) <= 1000
