@@ -110,3 +110,19 @@ def test_premises_are_read_from_payloads(spark):
     assert edges == {
         ("good GenuinePriceObservation", ID, "conventionEvidenceId", "SourcePriceConvention"), ("good GenuinePriceObservation", ID, "completedSessionEvidenceId", "CompletedSession"), ("good Reopening", ID, "suspensionEvidenceId", "Suspension"),
         ("coverage", ID, "eventEvidenceIds", "CorporateAction"), ("coverage", OTHER_ID, "eventEvidenceIds", "CorporateAction"), ("cancel", "good Suspension", "cancelledRevision", "Suspension")}
+
+
+def test_premises_bind_each_record_once_in_many_tasks(spark):
+    df = spark.createDataFrame([r for n, r, _, _ in CASES if n.startswith(("good", "coverage", "cancel", "prices"))], SCHEMA).withColumnRenamed("id", "evidence_id").coalesce(1)
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    bound = cl.bind_evidence(df.mapInPandas(pass_on, df.schema))
+    assert bound.rdd.getNumPartitions() > 1
+    read.value = 0
+    assert cl.premise_edges(bound).count() > 0
+    assert read.value == df.count()

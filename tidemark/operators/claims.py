@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evidence import HIGHEST_TIER, SECONDARY_TIER
+from tidemark.session import shared
 
 # Codes, bounds, formats and vocabularies of the payload contract.
 MALFORMED, UNBOUND, UNSUPPORTED = "PERSISTED_EVIDENCE_MALFORMED", "PERSISTED_EVIDENCE_UNBOUND", "PERSISTED_EVIDENCE_BINDING_UNSUPPORTED"
@@ -209,7 +210,9 @@ def bind_evidence(records: DataFrame) -> DataFrame:
     items at most and payloads 64 KiB. A cancellation carries no value and names an earlier revision of its series.
     """
     root = F.col("__root")
-    x = records.withColumn("__root", F.try_parse_json("payload"))
+    # Payloads take far longer to judge than to read, so they are dealt out; a file of a few splits would keep as few cores busy.
+    dealt = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = records.repartition(dealt, "payload", "series", "revision", "known_at").withColumn("__root", F.try_parse_json("payload"))
     v = Value(root)
     top = lambda name: F.when(F.schema_of_variant(F.try_variant_get(root, f"$.{name}", "variant")) == "STRING", F.try_variant_get(root, f"$.{name}", "string"))
     value_kind = F.schema_of_variant(F.try_variant_get(root, "$.value", "variant"))
@@ -266,6 +269,8 @@ def premise_edges(bound: DataFrame) -> DataFrame:
     ``bound`` comes from ``bind_evidence`` and has evidence_id. A cancellation rests on the revision of its series that it
     names; that it is missing shows as a null premise. Records that do not bind have no premises.
     """
+    # Kept, so that a record is bound once; else the tests below and both branches would each judge its payload again.
+    bound = shared(bound.select("evidence_id", "claim", "series", "revision", "supersedes_revision", "decode_reason", "operation", "value"))
     value = F.try_parse_json("value")
 
     def premises(claim: str, member: str, expected: str) -> Column:
