@@ -12,6 +12,9 @@ from tidemark.functions.scalar import plain_decimal
 CLOCK_NAMES = ("knownAt", "retrievedAt", "publishedAt", "completedAt", "known_at", "retrieved_at")
 # Characters the reference encoder writes as \\uXXXX besides everything beyond ASCII.
 ESCAPED = {'"': "22", "&": "26", "'": "27", "+": "2B", "<": "3C", ">": "3E", "`": "60"}
+# Characters that are escaped though they print, each listed: Java looks such a class up in a table, but walks a chain for ranges.
+MARKED = r"""["&'+<>`\\]"""
+UNPRINTED = r"[^\x20-\x7e]"
 
 
 def bar_content_hash(df: DataFrame | None = None) -> Column:
@@ -19,7 +22,8 @@ def bar_content_hash(df: DataFrame | None = None) -> Column:
     def number(name: str) -> Column:
         text = F.col(name).cast("string")
         whole = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-        return plain_decimal(whole)
+        # Only a sign or a zero in front can be dropped; other texts are spared the two expressions.
+        return plain_decimal(F.when(F.substring(text, 1, 1).isin("+", "-", "0"), whole).otherwise(text))
 
     parts = [
         F.date_format("session_date", "yyyy-MM-dd"), *[number(c) for c in ("open", "high", "low", "close")],
@@ -34,21 +38,21 @@ def verify_content_hash(df: DataFrame) -> DataFrame:
 
 def json_string(text: Column) -> Column:
     """A JSON string literal; quotes, markup and non-ASCII characters are \\u escapes."""
-    out = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    for control, escape in (("\n", r"\\\\n"), ("\r", r"\\\\r"), ("\t", r"\\\\t"), ("\b", r"\\\\b"), ("\f", r"\\\\f")):
-        out = F.regexp_replace(out, control if control != "\b" else r"\x08", escape)
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for control, escape in (("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t"), ("\b", r"\b"), ("\f", r"\f")):
+        out = F.replace(out, F.lit(control), F.lit(escape))
     for char, code in ESCAPED.items():
-        out = F.regexp_replace(out, r"\+" if char == "+" else char, rf"\\\\u00{code}")
+        out = F.replace(out, F.lit(char), F.lit(rf"\u00{code}"))
     unit = lambda number: F.concat(F.lit("\\u"), F.lpad(F.hex(number), 4, "0"))
 
     def escape(ch: Column) -> Column:
         point = F.ascii(ch).cast("long")
         astral = point - 0x10000
         pair = F.concat(unit(F.lit(0xD800) + F.floor(astral / 1024)), unit(F.lit(0xDC00) + astral % 1024))
-        return F.when(point < 127, ch).when(point < 0x10000, unit(point)).otherwise(pair)
+        return F.when(point.between(32, 126), ch).when(point < 0x10000, unit(point)).otherwise(pair)
 
     spelled = F.array_join(F.transform(F.split(out, ""), escape), "")
-    return F.concat(F.lit('"'), F.when(out.rlike(r"^[\x20-\x7e]*$"), out).otherwise(spelled), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(~(text.rlike(MARKED) | text.rlike(UNPRINTED)), text).when(~out.rlike(UNPRINTED), out).otherwise(spelled), F.lit('"'))
 
 
 def clock_text(at: Column) -> Column:

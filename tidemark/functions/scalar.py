@@ -58,7 +58,7 @@ def uuid_from_text(text) -> Column:
 def plain_decimal(value) -> Column:
     """Decimal text without trailing zeros or a dangling point."""
     text = _c(value).cast("string")
-    return F.when(F.instr(text, ".") > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
 def percent_change(after, before) -> Column:
@@ -165,7 +165,9 @@ def decimal_state(text) -> Column:
 
 
 def is_sha256(value) -> Column:
-    return F.coalesce(_c(value).rlike("^[0-9a-f]{64}$"), F.lit(False))
+    text = _c(value)
+    # Digits are listed, not given as ranges: Java looks such a class up in a table.
+    return F.coalesce((F.length(text) == 64) & ~text.rlike("[^0123456789abcdef]"), F.lit(False))
 
 
 def unique_keys(body) -> Column:
