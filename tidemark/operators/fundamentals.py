@@ -17,6 +17,11 @@ ENVELOPE = (
     "evidenceId", "policyId", "schemaVersion", "payloadSchemaVersion", "claim", "scopeKind", "subject", "sourceId", "sourceReference", "assertionKey", "revisionSeriesId", "revisionNumber",
     "supersedesRevisionNumber", "lineageEvidence", "authorityTier", "publishedAt", "publicationDate", "publicationEvidence", "receipt", "knownAt", "recordedAt", "admission", "payload", "payloadSha256",
 )
+# Members whose values are judged; of the others only the names are.
+JUDGED = (
+    "policyId", "schemaVersion", "claim", "scopeKind", "sourceId", "assertionKey", "revisionSeriesId", "revisionNumber", "supersedesRevisionNumber", "authorityTier",
+    "publishedAt", "publicationDate", "publicationEvidence", "receipt", "knownAt", "recordedAt", "payloadSha256",
+)
 CLAIMS = ("FinancialFiling", "FundamentalFact", "FundamentalConvention")
 INCOMPARABLE, MALFORMED, NUMERIC, UNSUPPORTED = "FUNDAMENTAL_INCOMPARABLE", "FUNDAMENTAL_MALFORMED", "FUNDAMENTAL_NUMERIC_UNREPRESENTABLE", "FUNDAMENTAL_BINDING_UNSUPPORTED"
 LARGEST = "79228162514264337593543950335"
@@ -148,7 +153,7 @@ def comparable_facts(left: DataFrame, right: DataFrame, keys: tuple[str, ...] =
 def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fundamental-v0.1.0") -> DataFrame:
     """Adds ``diagnostics``: CODE@/pointer for shape, vocabulary, chronology, lineage and receipt rules."""
     text = F.col(column)
-    schema = ", ".join(f"{f} string" for f in ENVELOPE)
+    schema = ", ".join(f"{f} string" for f in JUDGED)
     staged = df.withColumns({"__e": F.from_json(text, schema), "__names": F.json_object_keys(text), "__sound": F.try_parse_json(text).isNotNull()})
     e, names = F.col("__e"), F.col("__names")
     at = lambda c: F.try_to_timestamp(e[c])
@@ -157,9 +162,10 @@ def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fu
     published = e["publishedAt"].isNotNull() | e["publicationDate"].isNotNull()
     scope = F.when(e["claim"] == "FundamentalConvention", F.lit("SOURCE")).otherwise(F.lit("REPORTING_ENTITY"))
     series = series_id(e["sourceId"], F.concat_ws("/", F.lit(policy), e["claim"], e["assertionKey"]))
+    envelope = F.array(*[F.lit(f) for f in ENVELOPE])
+    absent = F.transform(F.array_except(envelope, names), lambda f: F.concat(F.lit(f"{MALFORMED}@/"), f))
     checks = [
-        *[code(~F.array_contains(names, f), MALFORMED, f"/{f}") for f in ENVELOPE],
-        code(F.size(F.array_except(names, F.array(*[F.lit(f) for f in ENVELOPE]))) > 0, MALFORMED, "/"),
+        code(F.size(F.array_except(names, envelope)) > 0, MALFORMED, "/"),
         code(~e["claim"].isin(*CLAIMS), MALFORMED, "/claim"), code(e["policyId"] != policy, UNSUPPORTED, "/policyId"), code(number("schemaVersion") != 1, UNSUPPORTED, "/schemaVersion"),
         code(~e["authorityTier"].isin("T1", "T2", "T3", "T4"), MALFORMED, "/authorityTier"), code(e["scopeKind"] != scope, MALFORMED, "/scopeKind"),
         code(at("knownAt").isNull(), MALFORMED, "/knownAt"), code(at("recordedAt") < at("knownAt"), "FUNDAMENTAL_CHRONOLOGY", "/recordedAt"),
@@ -169,4 +175,4 @@ def validate_fundamentals(df: DataFrame, column: str = "body", policy: str = "fu
         code((e["claim"] != "FundamentalFact") & e["receipt"].isNull(), MALFORMED, "/receipt"),
     ]
     broken = ~F.col("__sound") | names.isNull()
-    return staged.withColumn("diagnostics", F.when(broken, F.array(F.lit(f"{MALFORMED}@/"))).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*checks)))))).drop("__e", "__names", "__sound")
+    return staged.withColumn("diagnostics", F.when(broken, F.array(F.lit(f"{MALFORMED}@/"))).otherwise(F.sort_array(F.array_distinct(F.concat(absent, F.array_compact(F.array(*checks))))))).drop("__e", "__names", "__sound")
