@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import decimal_state, is_sha256, reasons_where
-from tidemark.operators.pit import bars_as_of, interval_lookup, latest_by
-from tidemark.session import shared
+from tidemark.operators.pit import bars_as_of, interval_conflicts, latest_by
 
 
 def validate_bars(df: DataFrame) -> DataFrame:
@@ -33,8 +32,10 @@ def admit_bars(df: DataFrame) -> DataFrame:
     text = (*prices, "adjusted_close")
     # Text checks become columns first, so each price is parsed once.
     x = df.withColumns({f"__s_{c}": F.when(F.col(c).isNotNull() | F.lit(c != "adjusted_close"), decimal_state(c)) for c in text})
-    x = x.withColumns({f"__n_{c}": F.col(c).try_cast("double") for c in text})
-    number = F.coalesce(*[F.when(F.col(f"__s_{c}") != "OK", F.col(f"__s_{c}")) for c in text])
+    # A text that is no number is told by its state; casting it would cost an exception each.
+    x = x.withColumns({f"__n_{c}": F.when(F.col(f"__s_{c}") == "OK", F.col(c).try_cast("double")) for c in text})
+    x = x.withColumn("__number", F.coalesce(*[F.nullif(F.col(f"__s_{c}"), F.lit("OK")) for c in text]))
+    number = F.col("__number")
     o, h, low, c = (F.col(f"__n_{p}") for p in prices)
     broken = (
         (F.least(o, h, low, c) <= 0) | (h < o) | (h < c) | (h < low) | (low > o) | (low > c) | (F.col("volume") < 0)
@@ -56,15 +57,33 @@ def admit_bars(df: DataFrame) -> DataFrame:
     return x.select(*df.columns, reason.alias("reason"))
 
 
-def _with_interval(df: DataFrame, pairs: DataFrame, facts: DataFrame, fields: list[str], tag: str) -> DataFrame:
-    """Fact covering each (instrument, session), looked up once per distinct pair."""
-    picked = facts.select("instrument_id", "valid_from", "valid_to", F.col("valid_from").alias("interval_from"), *fields)
-    found = interval_lookup(picked, pairs, ["instrument_id"], "session_date", ["interval_from", *fields])
-    return df.join(
-        found.select("instrument_id", "session_date", F.col("reason").alias(f"{tag}_reason"),
-                     *[F.col(c).alias(f"{tag}_{c}") for c in ("interval_from", *fields)]),
-        ["instrument_id", "session_date"],
-    )
+def _with_intervals(bars: DataFrame, families: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Adds what covers each bar, for each tag a table of intervals and the fields wanted of it.
+
+    Bars and the intervals of all tables are dealt by instrument once and scanned in the order of their days. An
+    instrument has one bar a session, so what is scanned in one piece is as long as the calendar.
+    """
+    merged = bars.withColumns({"__at": F.col("session_date"), "__side": F.lit(1)})
+    for tag, (table, fields) in families.items():
+        facts = table.where("instrument_id IS NOT NULL").select("instrument_id", "valid_from", "valid_to", *fields)
+        broken = interval_conflicts(facts, ["instrument_id"])
+        clean = facts.join(broken, "instrument_id", "left_anti")
+        fact = F.struct("valid_from", "valid_to", *fields)
+        merged = merged.unionByName(
+            clean.select("instrument_id", F.col("valid_from").alias("__at"), F.lit(0).alias("__side"), fact.alias(f"__{tag}")), allowMissingColumns=True)
+        # A conflict stands before all days of its instrument.
+        merged = merged.unionByName(
+            broken.select("instrument_id", F.lit(None).cast("date").alias("__at"), F.lit(-1).alias("__side"), F.lit(True).alias(f"__{tag}_broken")), allowMissingColumns=True)
+    upto = Window.partitionBy("instrument_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto).alias(c)
+    x = merged.select(*bars.columns, "__side", *[last(c) for tag in families for c in (f"__{tag}", f"__{tag}_broken")]).where("__side = 1")
+    out = []
+    for tag, (_, fields) in families.items():
+        hit, day = F.col(f"__{tag}"), F.col("session_date")
+        covered = F.coalesce((hit["valid_from"] <= day) & (hit["valid_to"].isNull() | (hit["valid_to"] >= day)), F.lit(False))
+        out += [F.when(covered, hit["valid_from"]).alias(f"{tag}_interval_from"), *[F.when(covered, hit[c]).alias(f"{tag}_{c}") for c in fields]]
+        out.append(F.when(F.col(f"__{tag}_broken"), F.lit("REFERENCE_INTERVAL_CONFLICT")).when(~covered, F.lit("REFERENCE_INTERVAL_MISSING")).alias(f"{tag}_reason"))
+    return x.select(*bars.columns, *out)
 
 
 def _listed(df: DataFrame, listed: DataFrame, tag: str) -> DataFrame:
@@ -77,11 +96,7 @@ def _listed(df: DataFrame, listed: DataFrame, tag: str) -> DataFrame:
 
 def clear_price_basis(bars: DataFrame, prices: DataFrame, identities: DataFrame, listed: DataFrame) -> DataFrame:
     """Adds ``price_reason``: null when the covering price interval clears the bar. ``bars`` are admitted bars."""
-    bars = shared(bars)
-    pairs = shared(bars.select("instrument_id", "session_date").distinct())
-    x = _with_interval(bars, pairs, identities, ["classification", "currency"], "identity")
-    x = _with_interval(x, pairs, prices, ["source_id", "convention", "continuity", "event_coverage"], "price")
-    x = _listed(x, listed, "price")
+    x = _with_intervals(bars, {"identity": (identities, ["classification", "currency"]), "price": (prices, ["source_id", "convention", "continuity", "event_coverage"])})
     index = F.col("identity_classification") == "INDEX"
     cleared = (
         (F.col("price_continuity") == "RAW_AS_TRADED")
@@ -89,7 +104,7 @@ def clear_price_basis(bars: DataFrame, prices: DataFrame, identities: DataFrame,
         & (index | ((F.col("identity_currency") == "IDR") & (F.col("volume") > 0)))
         & (F.col("price_source_id") == F.col("source_id"))
         & (F.col("price_convention") == F.when(index, F.lit("INDEX_LEVEL")).otherwise(F.lit("STOCK_RAW")))
-        & F.coalesce("price_listed", F.lit(False)) & F.col("reason").isNull()
+        & F.col("reason").isNull()
     )
     typed = F.col("identity_classification").isin("ORDINARY", "INDEX")
     why = (
@@ -98,17 +113,16 @@ def clear_price_basis(bars: DataFrame, prices: DataFrame, identities: DataFrame,
         .when(F.col("price_reason").isNotNull(), F.col("price_reason"))
         .when(~F.coalesce(cleared, F.lit(False)), F.lit("PRICE_BASIS_UNVERIFIED"))
     )
-    return x.select(*bars.columns, why.alias("price_reason"))
+    # What else decides is settled first, so that the join carries two columns of it.
+    x = _listed(x.select(*bars.columns, "price_interval_from", why.alias("__why")), listed, "price")
+    return x.select(*bars.columns, F.when(F.col("__why").isNotNull(), F.col("__why")).when(F.col("price_listed").isNull(), F.lit("PRICE_BASIS_UNVERIFIED")).alias("price_reason"))
 
 
 def clear_volume_basis(bars: DataFrame, volumes: DataFrame, identities: DataFrame, listed: DataFrame) -> DataFrame:
     """Adds ``volume_reason``: null when the covering volume interval clears the bar."""
-    bars = shared(bars)
-    pairs = shared(bars.select("instrument_id", "session_date").distinct())
-    x = _with_interval(bars, pairs, identities, ["classification", "currency"], "identity")
     fields = ["source_id", "unit", "basis", "raw_price_compatible", "currency", "market_segment"]
     # "span" keeps the interval's unit and basis apart from the bar's own.
-    x = _listed(_with_interval(x, pairs, volumes, fields, "span"), listed, "span")
+    x = _with_intervals(bars, {"identity": (identities, ["classification", "currency"]), "span": (volumes, fields)})
     cleared = (
         F.col("identity_reason").isNull() & (F.col("identity_classification") == "ORDINARY") & (F.col("identity_currency") == "IDR")
         & (F.col("span_currency") == "IDR") & F.col("span_raw_price_compatible")
@@ -116,11 +130,12 @@ def clear_volume_basis(bars: DataFrame, volumes: DataFrame, identities: DataFram
         & (F.col("span_basis") != "UNKNOWN") & (F.col("span_market_segment") != "UNKNOWN")
         & (F.col("span_source_id") == F.col("source_id")) & (F.col("span_unit") == F.col("volume_unit"))
         & (F.col("span_basis") == F.col("volume_basis")) & (F.col("span_market_segment") == F.col("market_segment"))
-        & F.coalesce("span_listed", F.lit(False)) & (F.col("volume") > 0) & F.col("reason").isNull()
+        & (F.col("volume") > 0) & F.col("reason").isNull()
     )
     why = F.when(F.col("span_reason").isNotNull(), F.col("span_reason")).when(
         ~F.coalesce(cleared, F.lit(False)), F.lit("VOLUME_BASIS_UNVERIFIED"))
-    return x.select(*bars.columns, why.alias("volume_reason"))
+    x = _listed(x.select(*bars.columns, "span_interval_from", why.alias("__why")), listed, "span")
+    return x.select(*bars.columns, F.when(F.col("__why").isNotNull(), F.col("__why")).when(F.col("span_listed").isNull(), F.lit("VOLUME_BASIS_UNVERIFIED")).alias("volume_reason"))
 
 
 def search_instruments(instruments: DataFrame, bars: DataFrame, text: str) -> DataFrame:

@@ -39,13 +39,18 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return picked.select(*keys, "__row.*").select(*df.columns)
 
 
-def bars_as_of(revisions: DataFrame, cutoff, through: date | str | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """Latest revision of each bar visible at the cutoff; known_at decides, then revision number."""
+def bars_as_of(revisions: DataFrame, cutoff, through: date | str | None = None, ids: DataFrame | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Latest revision of each bar visible at the cutoff; known_at decides, then revision number.
+
+    ``keep`` names the columns wanted besides keys, known_at and revision_number; the aggregate carries no others.
+    """
     seen = revisions.where(visible(revisions, cutoff))
     if through is not None:
         seen = seen.where(F.col("session_date") <= F.lit(through).cast("date"))
     if ids is not None:
         seen = seen.join(ids, "instrument_id", "left_semi")
+    if keep is not None:
+        seen = seen.select(*dict.fromkeys((*BAR_KEYS, "known_at", "revision_number", *keep)))
     return latest_by(seen, BAR_KEYS, ("known_at", "revision_number"))
 
 

@@ -242,8 +242,8 @@ def _prj4(spark, sf):
     return doc.select("instrument_id", "known_at", hashing.canonical_hash(doc, "doc").alias("set_hash"), hashing.canonical_hash(doc, "doc", "ordered").alias("ordered_hash"))
 
 
-def _admitted(spark, sf):
-    return ad.admit_bars(pit.bars_as_of(table(spark, sf, "revisions"), CUTOFF))
+def _admitted(spark, sf, *keep):
+    return pit.bars_as_of(ad.admit_bars(table(spark, sf, "revisions")), CUTOFF, keep=(*keep, "reason"))
 
 
 ASOF = f"SELECT * FROM {{{{admitted}}}} WHERE {VISIBLE} QUALIFY row_number() OVER (PARTITION BY instrument_id, session_date ORDER BY known_at DESC, revision_number DESC) = 1"
@@ -267,7 +267,7 @@ SELECT instrument_id, session_date, revision_number, CASE WHEN broken THEN 'REFE
   AND psrc = source_id AND convention = CASE WHEN classification = 'INDEX' THEN 'INDEX_LEVEL' ELSE 'STOCK_RAW' END AND plisted AND reason IS NULL THEN NULL ELSE 'PRICE_BASIS_UNVERIFIED' END AS price_reason FROM j""")
 def _prj5(spark, sf):
     t = lambda n: table(spark, sf, n)
-    out = ad.clear_price_basis(_admitted(spark, sf), t("price_intervals"), t("identities"), t("listed_hashes"))
+    out = ad.clear_price_basis(_admitted(spark, sf, "content_hash", "source_id", "volume"), t("price_intervals"), t("identities"), t("listed_hashes"))
     return out.select("instrument_id", "session_date", "revision_number", "price_reason")
 
 
@@ -277,7 +277,7 @@ SELECT instrument_id, session_date, revision_number, CASE WHEN vfrom IS NULL THE
   AND unit = volume_unit AND basis = volume_basis AND vseg = market_segment AND vlisted AND volume > 0 AND reason IS NULL THEN NULL ELSE 'VOLUME_BASIS_UNVERIFIED' END AS volume_reason FROM j""")
 def _prj6(spark, sf):
     t = lambda n: table(spark, sf, n)
-    out = ad.clear_volume_basis(_admitted(spark, sf), t("volume_intervals"), t("identities"), t("listed_hashes"))
+    out = ad.clear_volume_basis(_admitted(spark, sf, "content_hash", "source_id", "volume", "volume_unit", "volume_basis", "market_segment"), t("volume_intervals"), t("identities"), t("listed_hashes"))
     return out.select("instrument_id", "session_date", "revision_number", "volume_reason")
 
 
