@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,13 +154,16 @@ def search_instruments(instruments: DataFrame, bars: DataFrame, text: str) -> Da
     return found.join(newest, "instrument_id", "left")
 
 
-def stock_history(revisions: DataFrame, through, cutoff, limit: int) -> DataFrame:
-    """Last ``limit`` visible sessions per instrument, oldest first, invalid rows kept with their reason."""
-    seen = bars_as_of(revisions, cutoff, through)
+def stock_history(revisions: DataFrame, through, cutoff, limit: int, keep: Sequence[str] | None = None) -> DataFrame:
+    """Last ``limit`` visible sessions per instrument, oldest first, invalid rows kept with their reason.
+
+    Bars are judged where they are read; of the other columns only those in ``keep`` (all unless given) are shuffled.
+    """
+    seen = bars_as_of(admit_bars(revisions), cutoff, through, keep=None if keep is None else (*keep, "reason"))
     newest = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
     kept = seen.withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= limit)
     forward = Window.partitionBy("instrument_id").orderBy("session_date")
-    return admit_bars(kept).withColumn("position", F.row_number().over(forward)).drop("__rank")
+    return kept.withColumn("position", F.row_number().over(forward)).drop("__rank")
 
 
 def latest_market_state(instruments: DataFrame, revisions: DataFrame, through, cutoff) -> DataFrame:

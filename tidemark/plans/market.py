@@ -297,7 +297,7 @@ def _prj8(spark, sf):
 WITH b AS ({ASOF}), k AS (SELECT * FROM b WHERE session_date <= DATE '2000-05-31' QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY session_date DESC) <= 60)
 SELECT instrument_id, session_date, row_number() OVER (PARTITION BY instrument_id ORDER BY session_date) AS position, revision_number, close, reason FROM k""")
 def _prj9(spark, sf):
-    return ad.stock_history(table(spark, sf, "revisions"), "2000-05-31", CUTOFF, 60).select("instrument_id", "session_date", "position", "revision_number", "close", "reason")
+    return ad.stock_history(table(spark, sf, "revisions"), "2000-05-31", CUTOFF, 60, ["close"]).select("instrument_id", "session_date", "position", "revision_number", "close", "reason")
 
 
 @query("jn2_latest_market_state", f"""
