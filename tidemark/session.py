@@ -68,3 +68,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """Keeps a result two branches of the same plan read; it spills to disk and is rebuilt after executor loss."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def built(df: DataFrame) -> DataFrame:
+    """A shared result that is there at once: only then do later plans know how it is dealt out, and need not shuffle it again."""
+    df = shared(df)
+    df.count()
+    return df
